@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.times import DAY, day_text, micros
-from strandline.llm import bitmaps, subsequences
+from strandline.llm import bitmaps, mixing, subsequences, tokenizer
 from strandline.plans.problem_queries import table, unique_captured
+from strandline.session import materialize
 
 CELL = ["day", "event", "project_id", "country"]
 
@@ -50,7 +51,30 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.array_join("pattern", " > ").alias("pattern"), "support")
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct, p1_trailing_week, p1_both_events, p3_found)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document's whole text."""
+    return tokenizer.encode(table(spark, folder, "documents"))
+
+
+def token_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, source and size in tokens of every document, counted once and written down."""
+    documents = table(spark, folder, "documents")
+    counted = tokenizer.encode(documents.select(F.struct("doc_id", "source").alias("doc"), "text"), key="doc", count_only=True)
+    return materialize(counted.select("doc.doc_id", "doc.source", "n_tokens"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every use of a document in each mix, in the order of training."""
+    return mixing.mix(token_sizes(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares each mix reached, beside its targets."""
+    sizes, targets = token_sizes(spark, folder), table(spark, folder, "mix_targets")
+    return mixing.shares(sizes, targets, mixing.mix(sizes, targets))
+
+
+QUERIES = {f.__name__: f for f in (p1_distinct, p1_trailing_week, p1_both_events, p3_found, p8_ids, p9_mix, p9_shares)}
 
 _DAY = "strftime(timestamp, '%Y-%m-%d')"
 SQL = {
