@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.times import DAY, day_text, micros
-from strandline.llm import bitmaps, mixing, subsequences, tokenizer
+from strandline.llm import bitmaps, mixing, stuffed_pages, subsequences, tokenizer
 from strandline.plans.problem_queries import table, unique_captured
 from strandline.session import materialize
 
@@ -74,7 +74,16 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(sizes, targets, mixing.mix(sizes, targets))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct, p1_trailing_week, p1_both_events, p3_found, p8_ids, p9_mix, p9_shares)}
+def p10_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its words, their share in lists, the share of its phrases on other hosts."""
+    return stuffed_pages.stuffed_pages(table(spark, folder, "documents"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_evidence(spark, folder).where("stuffed").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_distinct, p1_trailing_week, p1_both_events, p3_found, p8_ids, p9_mix, p9_shares, p10_found, p10_evidence)}
 
 _DAY = "strftime(timestamp, '%Y-%m-%d')"
 SQL = {
