@@ -11,7 +11,6 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -69,7 +68,6 @@ class Line(NamedTuple):
     kind: str  # list, short, plain, technical, sentence
 
 
-@lru_cache(100_000)
 def weight(token: str) -> int:
     """Words in a token: one, or about one for each two letters of a script without spaces."""
     if token.isascii():
@@ -131,7 +129,6 @@ def repeats_itself(tokens: list[str]) -> bool:
     return n >= 20 and len(counts) <= 5 * n**0.5 and sum(c for c in counts.values() if c > 1) >= 0.75 * n
 
 
-@lru_cache(100_000)
 def _normal(token: str) -> str:
     return token.casefold() if token.isalpha() else EDGES.sub("", token).casefold()
 
@@ -188,17 +185,12 @@ def examine(text: str | None) -> Evidence:
     return Evidence(sum(line.weight for line in lines), sizes["listed"], sizes["undecided"], *phrase_hashes(words, doubtful))
 
 
-@lru_cache(100_000)
-def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
 def phrase_hashes(words: list[str], doubtful: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each five consecutive words, and whether all five are doubtful."""
     n = len(words) - PHRASE_WORDS + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, bool)
-    each = np.array(list(map(_hash, words)), dtype=np.uint64)
+    each = np.array(list(map(xxhash.xxh64_intdigest, words)), dtype=np.uint64)
     total, all_in = np.zeros(n, np.uint64), np.ones(n, bool)
     flags = np.array(doubtful)
     for k in range(PHRASE_WORDS):
