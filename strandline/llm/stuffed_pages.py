@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import materialize
+from strandline.session import materialize, spread
 
 PHRASE_WORDS = 5
 #: A phrase is replicated if so many hosts carry it.
@@ -33,6 +33,8 @@ ANCHOR = regex.compile(r"(?is)<a\s[^>]*>(.*?)</a>")
 BREAK = regex.compile(r"(?i)</?(?:li|ul|ol|br|p|div|tr|h\d)\b[^>]*>")
 MARKDOWN_LINK = regex.compile(r"\[([^\]\n]*)\]\((\S+?)\)")
 URL = regex.compile(r"(?i)(?:https?://|www\.)\S+|(?<![\w@./-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s|,;)]*|(?<=[»→>=:|-]\s)[a-z0-9-]+\.[a-z]{2,}(?=\s*$)")
+DOMAIN = regex.compile(r"(?i)[a-z0-9]\.[a-z]{2,}(?:/|\s*$|\s*\n)|www\.")
+TAGS = regex.compile(r"<[^<>\n]{1,200}>")
 LINK = "\ue000"
 TECHNICAL = regex.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:|[{}]|\w\(|\w=\w|^\s*\|.*\|\s*$|;\s*$|^\s*(?:SELECT|FROM|WHERE|GROUP BY|WITH)\b")
 PRICE = regex.compile(r"\d[\d.,]*\s?(?:\p{Sc}|\p{Lu}{3})(?!\w)|\p{Sc}\s?\d")
@@ -45,6 +47,8 @@ MANY_ITEMS = 12
 TAG = regex.compile(r"^[#@]\p{L}[\p{L}\p{N}_-]*$")
 LETTERS = regex.compile(r"^[\p{L}\p{M}][\p{L}\p{M}'’-]*$")
 STRUNG = regex.compile(r"^[#@]?[\p{L}\p{M}]+(?:[-_][\p{L}\p{M}]+)*$")
+#: Stripped first because it is quicker than the pattern below, which strips all the rest.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…–—。、！？"
 EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 LABEL = regex.compile(r"^\s*\p{L}[\p{L} ]{0,20}(?::\s+|=)")
 BETWEEN = regex.compile(r"[\s;|·•]+|[,、#@](?=\S)")
@@ -90,7 +94,8 @@ def classify(line: str) -> Line:
     tokens = [t for t in BETWEEN.split(line) if t]
     if not tokens:
         return Line(tokens, 0, "blank")
-    size, links, ends = sum(map(weight, tokens)), tokens.count(LINK), len(ENDS.findall(line))
+    size = len(tokens) if line.isascii() else sum(map(weight, tokens))
+    links, ends = tokens.count(LINK), len(ENDS.findall(line))
     if links and size - 2 * links <= 5 * links and not (ends and ENDS.search(line.replace(LINK, ""))):
         return Line(tokens, size, "list" if links >= 3 else "link")
     unlabelled = LABEL.sub("", line)
@@ -130,7 +135,11 @@ def repeats_itself(tokens: list[str]) -> bool:
 
 
 def _normal(token: str) -> str:
-    return token.casefold() if token.isalpha() else EDGES.sub("", token).casefold()
+    if not token.isalpha():
+        token = token.strip(PUNCTUATION)
+        if token and not (token[0].isalnum() and token[-1].isalnum()):
+            token = EDGES.sub("", token)
+    return token.casefold()
 
 
 def normal_words(tokens: Iterable[str]) -> list[str]:
@@ -139,11 +148,17 @@ def normal_words(tokens: Iterable[str]) -> list[str]:
 
 def prepare(text: str) -> str:
     """Visible characters in their plain form; a link is its text and one LINK mark."""
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = ANCHOR.sub(lambda m: f" {m[1]} {LINK} ", text)
-    text = regex.sub(r"<[^<>\n]{1,200}>", " ", BREAK.sub("\n", text))
-    text = MARKDOWN_LINK.sub(lambda m: f" {m[1]} {LINK} ", text)
-    return URL.sub(f" {LINK} ", text)
+    text = unicodedata.normalize("NFKC", text)
+    if not text.isprintable():
+        text = INVISIBLE.sub("", text)
+    if "<" in text:
+        text = ANCHOR.sub(lambda m: f" {m[1]} {LINK} ", text)
+        text = TAGS.sub(" ", BREAK.sub("\n", text))
+    if "](" in text:
+        text = MARKDOWN_LINK.sub(lambda m: f" {m[1]} {LINK} ", text)
+    if "://" in text or DOMAIN.search(text):
+        text = URL.sub(f" {LINK} ", text)
+    return text
 
 
 def judge(run: list[Line]) -> str:
@@ -200,21 +215,27 @@ def phrase_hashes(words: list[str], doubtful: list[bool]) -> tuple[np.ndarray, n
 
 
 def evidence(documents: DataFrame, key: str = "doc_id", text: str = "text", host: str = "site") -> DataFrame:
-    """Columns doc_id, host, words, listed, undecided, phrases, doubtful for every document."""
+    """Columns doc_id, host, words, listed, undecided, n_phrases, n_doubtful and the page's
+    different phrases (phrase, times, doubtful) for every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 piece = batch.slice(start, 500)
                 found = [examine(t) for t in piece.column(2).to_pylist()]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(e.phrases) for e in found]))).astype(np.int32))
+                different = [np.unique(e.phrases, return_inverse=True) for e in found]
+                times = [np.bincount(at, minlength=len(p)).astype(np.int32) for p, at in different]
+                doubtful = [np.bincount(at, weights=e.doubtful, minlength=len(p)).astype(np.int32) for e, (p, at) in zip(found, different)]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p, _ in different]))).astype(np.int32))
                 columns = [piece.column(0), piece.column(1), *(pa.array([e[i] for e in found], pa.int64()) for i in range(3))]
-                phrases = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([e.phrases for e in found])))
-                doubtful = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([e.doubtful for e in found])))
-                yield pa.RecordBatch.from_arrays([*columns, phrases, doubtful], names=["doc_id", "host", "words", "listed", "undecided", "phrases", "doubtful"])
+                columns += [pa.array([len(e.phrases) for e in found], pa.int64()), pa.array([int(e.doubtful.sum()) for e in found], pa.int64())]
+                lists = ([p for p, _ in different], times, doubtful)
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "host", "words", "listed", "undecided", "n_phrases", "n_doubtful", "phrase", "times", "doubtful"])
 
-    chosen = documents.select(documents[key].alias("doc_id"), documents[host].alias("host"), documents[text].alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {documents.schema[key].dataType.simpleString()}, host string, words long, listed long, undecided long, phrases array<long>, doubtful array<boolean>")
+    chosen = spread(documents.select(documents[key].alias("doc_id"), documents[host].alias("host"), documents[text].alias("text")), "doc_id")
+    kind = documents.schema[key].dataType.simpleString()
+    return chosen.mapInArrow(run, f"doc_id {kind}, host string, words long, listed long, undecided long, n_phrases long, n_doubtful long, phrase array<long>, times array<int>, doubtful array<int>")
 
 
 def stuffed_pages(documents: DataFrame, min_hosts: int = MIN_HOSTS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -223,17 +244,18 @@ def stuffed_pages(documents: DataFrame, min_hosts: int = MIN_HOSTS, min_share: f
     replicated_share: phrases of the page that `min_hosts` hosts carry. stuffed: more than
     `min_share` of the words stand in lists, counting the undecided ones only where more than
     `min_share` of their phrases are replicated. Every phrase of every document is counted; a
-    phrase is reduced to its different hosts before and after the shuffle, so one that a third of
-    all pages repeat stays small. A null host is no host. Texts without words are not stuffed.
+    page sends each of its phrases once, and a phrase is reduced to its different hosts before
+    and after the shuffle, so one that a third of all pages repeat stays small. Phrases and hosts
+    are compared by 64-bit hashes. A null host is no host. Texts without words are not stuffed.
     """
     pages = materialize(evidence(documents))
-    phrases = pages.select("doc_id", "host", F.explode(F.arrays_zip("phrases", "doubtful")).alias("p")).select("doc_id", "host", F.col("p.phrases").alias("phrase"), F.col("p.doubtful").alias("doubtful"))
-    hosts = phrases.where(F.col("host").isNotNull()).select("phrase", "host").distinct().groupBy(F.col("phrase").alias("shared")).agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= min_hosts)
-    own = phrases.groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("doubtful").alias("n_doubtful"))
-    found = own.join(hosts, F.col("phrase") == F.col("shared")).groupBy(F.col("doc_id").alias("f_doc")).agg(F.sum("n").alias("replicated"), F.sum("n_doubtful").alias("replicated_doubtful"))
-    joined = pages.join(found, F.col("doc_id") == F.col("f_doc"), "left")
-    doubtful = F.size(F.filter("doubtful", lambda d: d))
-    confirmed = F.when((doubtful > 0) & (F.coalesce("replicated_doubtful", F.lit(0)) > min_share * doubtful), F.col("undecided")).otherwise(0)
+    own = pages.select("doc_id", F.xxhash64("host").alias("h"), F.col("host").isNotNull().alias("known"), F.explode(F.arrays_zip("phrase", "times", "doubtful")).alias("p"))
+    phrases = own.select("doc_id", "h", "known", F.col("p.phrase").alias("phrase"), F.col("p.times").alias("times"), F.col("p.doubtful").alias("doubtful"))
+    hosts = phrases.where("known").select("phrase", "h").distinct().groupBy(F.col("phrase").alias("shared")).agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= min_hosts)
+    on_hosts = phrases.select("doc_id", "phrase", "times", "doubtful").join(hosts.select("shared"), F.col("phrase") == F.col("shared"))
+    found = on_hosts.groupBy(F.col("doc_id").alias("f_doc")).agg(F.sum("times").alias("replicated"), F.sum("doubtful").alias("replicated_doubtful"))
+    joined = pages.select("doc_id", "words", "listed", "undecided", "n_phrases", "n_doubtful").join(found, F.col("doc_id") == F.col("f_doc"), "left")
+    confirmed = F.when((F.col("n_doubtful") > 0) & (F.coalesce("replicated_doubtful", F.lit(0)) > min_share * F.col("n_doubtful")), F.col("undecided")).otherwise(0)
     listed = F.when(F.col("words") > 0, (F.col("listed") + confirmed) / F.col("words")).otherwise(0.0)
-    replicated = F.when(F.size("phrases") > 0, F.coalesce("replicated", F.lit(0)) / F.size("phrases")).otherwise(0.0)
+    replicated = F.when(F.col("n_phrases") > 0, F.coalesce("replicated", F.lit(0)) / F.col("n_phrases")).otherwise(0.0)
     return joined.select("doc_id", "words", listed.alias("list_share"), replicated.alias("replicated_share"), (listed > min_share).alias("stuffed"))

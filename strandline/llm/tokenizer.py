@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from strandline.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # Fixed value: the published pattern that splits text into words for this vocabulary.
@@ -197,7 +199,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str = V
     """Columns key, ids (array<int>) of each row; with `count_only` key, n_tokens (long).
 
     Every row is encoded whole. Text that looks like a special token is ordinary text; an empty or
-    null text has no ids. Rows are independent: no shuffle, and equal texts give equal ids. The
+    null text has no ids. Rows are independent: a scan with enough parts isn't shuffled. The
     vocabulary (50,257 tokens, about 2 MB of tables) is read once and sent to the executors.
     """
     shared = df.sparkSession.sparkContext.broadcast(tuple(load(path)))
@@ -217,6 +219,6 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str = V
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([piece.column(0), values], names=["key", column])
 
-    chosen = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
+    chosen = spread(df.select(df[key].alias("key"), df[text].cast("string").alias("text")), "key")
     schema = f"key {df.schema[key].dataType.simpleString()}, {column} {kind}"
     return chosen.mapInArrow(run, schema).withColumnRenamed("key", key)
