@@ -138,26 +138,35 @@ def property_condition(rule: dict, members: Column, now: int) -> Column:
     return there & F.coalesce(holds, F.lit(False))
 
 
-def evaluate(flag: dict, bucketing_id: Column, person_properties: Column, now: int) -> Column:
+def once(value: Column, use) -> Column:
+    """`use` of a value that is computed once per row, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def evaluate(flag: dict, bucketing_id: Column, members: Column, now: int) -> Column:
     """A struct enabled, variant, payload (JSON), reason, condition_index for one flag.
 
     The first group whose conditions all hold and whose rollout takes the id decides; a group
     without rollout takes everyone. If none does, the reason is that of the closest miss. The
     variant is the group's own, if it exists, or the one whose share of the hash the id falls in.
     """
+    null = F.lit(None).cast("string")
+    if not flag.get("active", True):
+        return F.struct(F.lit(False).alias("enabled"), null.alias("variant"), null.alias("payload"), F.lit(DISABLED).alias("reason"), F.lit(None).cast("int").alias("condition_index"))
+    hashes = F.struct(bucket_hash(flag["key"], bucketing_id).alias("rollout"), bucket_hash(flag["key"], bucketing_id, "variant").alias("share"))
+    return once(hashes, lambda h: _decide(flag, h["rollout"], h["share"], members, now))
+
+
+def _decide(flag: dict, rollout: Column, share: Column, members: Column, now: int) -> Column:
     rules = flag.get("filters", {})
     groups, variants = rules.get("groups", []), (rules.get("multivariate") or {}).get("variants", [])
     payloads = {k: json.dumps(v) for k, v in rules.get("payloads", {}).items()}
-    members = F.from_json(F.coalesce(person_properties, F.lit("{}")), "map<string,string>")
     null = F.lit(None).cast("string")
-    if not flag.get("active", True):
-        return F.struct(F.lit(False).alias("enabled"), null.alias("variant"), null.alias("payload"), F.lit(DISABLED).alias("reason"), F.lit(None).cast("int").alias("condition_index"))
-    rollout = bucket_hash(flag["key"], bucketing_id)
     fits = [reduce(lambda a, b: a & b, (property_condition(p, members, now) for p in g.get("properties", [])), F.lit(True)) for g in groups]
     taken = [f if g.get("rollout_percentage") is None else f & (rollout <= g["rollout_percentage"] / 100.0) for f, g in zip(fits, groups)]
     first = lambda conditions: F.coalesce(*(F.when(c, F.lit(i)) for i, c in enumerate(conditions)), F.lit(None).cast("int"))
     decided, missed = first(taken), first(fits)
-    share, low, by_hash = bucket_hash(flag["key"], bucketing_id, "variant"), 0.0, []
+    low, by_hash = 0.0, []
     for v in variants:
         high = low + v["rollout_percentage"] / 100.0
         by_hash.append(F.when((share >= low) & (share < high), F.lit(v["key"])))
@@ -178,9 +187,10 @@ def evaluate_all(flags: list[dict], ids: DataFrame, people: DataFrame, now: int)
     validate(flags)
     known = people.select(F.col("project_id").alias("p_project"), F.col("id").alias("p_id"), F.col("properties").alias("p_properties"), "first_seen_key")
     joined = ids.join(known, (F.col("project_id") == F.col("p_project")) & (F.col("person_id") == F.col("p_id")), "left")
+    joined = joined.withColumn("members", F.from_json(F.coalesce("p_properties", F.lit("{}")), "map<string,string>"))
     steady = F.coalesce("first_seen_key", "distinct_id")
     entries = [
-        F.struct(F.lit(f["key"]).alias("flag"), evaluate(f, steady if f.get("ensure_experience_continuity") else F.col("distinct_id"), F.col("p_properties"), now).alias("result")) for f in flags
+        F.struct(F.lit(f["key"]).alias("flag"), evaluate(f, steady if f.get("ensure_experience_continuity") else F.col("distinct_id"), F.col("members"), now).alias("result")) for f in flags
     ]
     return joined.select("project_id", "distinct_id", F.explode(F.array(*entries)).alias("e")).select("project_id", "distinct_id", "e.flag", "e.result.*")
 

@@ -7,11 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.contract import Filter, Period
-from strandline.functions.times import DAY, micros
-
-#: Overrides are sent to every task up to so many rows; a larger table is joined by shuffle.
-BROADCAST_ROWS = 200_000
+from strandline.contract import Filter
+from strandline.functions.times import micros
 
 
 @dataclass(frozen=True)
@@ -24,11 +21,6 @@ class Source:
     persons: DataFrame | None = None
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it is counted to have at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def needs_person_properties(filters: tuple[Filter, ...]) -> bool:
     return any(f.scope == "person" for f in filters)
 
@@ -38,7 +30,8 @@ def relation(source: Source, start: int | None = None, end: int | None = None, p
 
     The range is a condition on the timestamp column itself, so it reaches the Parquet scan. The
     identity join is left out where no person is needed. A person is the override of its
-    distinct_id, or the distinct_id.
+    distinct_id, or the distinct_id. Whether the overrides are broadcast is left to the optimizer,
+    which knows their size; a hot distinct_id in a shuffled join is split at run time.
     """
     events = source.events
     if start is not None:
@@ -52,7 +45,7 @@ def relation(source: Source, start: int | None = None, end: int | None = None, p
         events = events.withColumn("person_id", F.col("distinct_id"))
     else:
         own = source.overrides.select(F.col("project_id").alias("o_project"), F.col("distinct_id").alias("o_id"), F.col("person_id").alias("o_person"))
-        joined = events.join(small_enough(own), (F.col("project_id") == F.col("o_project")) & (F.col("distinct_id") == F.col("o_id")), "left")
+        joined = events.join(own, (F.col("project_id") == F.col("o_project")) & (F.col("distinct_id") == F.col("o_id")), "left")
         events = joined.withColumn("person_id", F.coalesce("o_person", "distinct_id")).drop("o_project", "o_id", "o_person")
     if person_properties:
         if source.persons is None:
@@ -70,13 +63,3 @@ def named(event: str | None) -> Column:
 def earliest_event(events: DataFrame) -> int | None:
     """Microseconds of the first event, for periods that start with it."""
     return events.agg(F.min(micros(events, "timestamp")).alias("at")).first()["at"]
-
-
-def spine(df: DataFrame, starts: list[int], name: str = "bucket") -> DataFrame:
-    """One row per bucket."""
-    return df.sparkSession.createDataFrame([(s,) for s in starts], f"{name} long")
-
-
-def days(period: Period) -> tuple[int, int]:
-    """The period widened to whole days."""
-    return period.start - period.start % DAY, -(-period.end // DAY) * DAY

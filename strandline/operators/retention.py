@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from strandline.contract import MAX_RETENTION, InvalidQuery, Period, Series, che
 from strandline.functions import dates, properties
 from strandline.functions.times import bucket
 from strandline.operators.relation import Source, named, needs_person_properties, relation
+from strandline.session import local_rows
 
 
 def periods(now: int, interval: str, total: int) -> list[int]:
@@ -30,7 +32,7 @@ def _active(source: Source, series: Series, start: int | None, end: int, starts:
     at = F.col("at")
     if first_time:
         matching = matching.groupBy("person_id").agg(F.min("at").alias("at")).where(F.col("at") >= start)
-    number = F.array_position(F.array(*(F.lit(s).cast("long") for s in starts)), bucket(at, interval)) - 1
+    number = F.array_position(F.lit(np.array(starts, dtype=np.int64)), bucket(at, interval)) - 1
     return matching.select("person_id", number.cast("int").alias("period")).where("period >= 0").distinct()
 
 
@@ -54,7 +56,7 @@ def retention(source: Source, target: Series, returning: Series, now: int, inter
     starts = periods(now, interval, total)
     counted = members(source, target, returning, now, interval, total, first_time).groupBy("cohort", "offset").agg(F.count(F.lit(1)).alias("persons"))
     cells = [(c, o, starts[c]) for c in range(total) for o in range(total - c)]
-    grid = source.events.sparkSession.createDataFrame(cells, "g_cohort int, g_offset int, cohort_start long")
+    grid = local_rows(source.events.sparkSession, cells, "g_cohort int, g_offset int, cohort_start long")
     joined = grid.join(counted, (F.col("g_cohort") == F.col("cohort")) & (F.col("g_offset") == F.col("offset")), "left")
     return joined.select("cohort_start", F.col("g_offset").alias("offset"), F.coalesce("persons", F.lit(0)).alias("persons"))
 
@@ -71,13 +73,13 @@ def lifecycle_cells(source: Source, series: Series, period: Period) -> DataFrame
     active = everything.select("person_id", bucket(F.col("at"), period.interval).alias("bucket")).distinct()
     person = Window.partitionBy("person_id")
     known = active.withColumn("first", F.min("bucket").over(person)).where(F.col("bucket") >= before)
-    number = F.array_position(F.array(*(F.lit(s).cast("long") for s in ordinal)), F.col("bucket")).cast("int") - 1
+    number = F.array_position(F.lit(np.array(list(ordinal), dtype=np.int64)), F.col("bucket")).cast("int") - 1
     known = known.withColumn("no", number)
     ordered = person.orderBy("no")
     known = known.withColumn("last_no", F.lag("no").over(ordered)).withColumn("next_no", F.lead("no").over(ordered))
     status = F.when(F.col("bucket") == F.col("first"), "new").when(F.col("last_no") == F.col("no") - 1, "returning").otherwise("resurrecting")
     here = known.where("no > 0").select("bucket", status.alias("status"), "person_id")
-    following = F.get(F.array(*(F.lit(s).cast("long") for s in starts)), F.col("no"))
+    following = F.get(F.lit(np.array(starts, dtype=np.int64)), F.col("no"))
     gone = known.where((F.coalesce("next_no", F.lit(-1)) != F.col("no") + 1) & (F.col("no") < len(starts)))
     return here.unionByName(gone.select(following.alias("bucket"), F.lit("dormant").alias("status"), "person_id"))
 
@@ -86,7 +88,7 @@ def lifecycle(source: Source, series: Series, period: Period) -> DataFrame:
     """Columns bucket, status, value for all four statuses of every bucket; dormant is negative."""
     counted = lifecycle_cells(source, series, period).groupBy("bucket", "status").agg(F.count(F.lit(1)).alias("n"))
     cells = [(b, s) for b in dates.buckets(period) for s in ("new", "returning", "resurrecting", "dormant")]
-    grid = source.events.sparkSession.createDataFrame(cells, "g_bucket long, g_status string")
+    grid = local_rows(source.events.sparkSession, cells, "g_bucket long, g_status string")
     joined = grid.join(counted, (F.col("g_bucket") == F.col("bucket")) & (F.col("g_status") == F.col("status")), "left")
     n = F.coalesce("n", F.lit(0))
     return joined.select(F.col("g_bucket").alias("bucket"), F.col("g_status").alias("status"), F.when(F.col("g_status") == "dormant", -n).otherwise(n).alias("value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from strandline.contract import OTHER, Breakdown, Filter, Period, Series, check_
 from strandline.functions import dates, formula, properties
 from strandline.functions.times import DAY, HOUR, WEEK, bucket, floor_to
 from strandline.operators.relation import Source, named, needs_person_properties, relation
+from strandline.session import local_rows
 
 TRAILING_DAYS = {"weekly_active": 7, "monthly_active": 30}
 PERCENTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -125,7 +127,7 @@ def _filled(source: Source, series: list[Series], period: Period, filters: tuple
     if not shown:
         return spark.createDataFrame([], "period string, series int, breakdown string, bucket long, value double")
     # at most 20 series of 301 values by 10,001 buckets, made where they are needed
-    grid = spark.createDataFrame(shown, "g_series int, g_breakdown string").withColumn("g_bucket", F.explode(F.array(*(F.lit(b).cast("long") for b in [*starts, None]))))
+    grid = local_rows(spark, shown, "g_series int, g_breakdown string").withColumn("g_bucket", F.explode(F.array_append(F.lit(np.array(starts, dtype=np.int64)), F.lit(None).cast("long"))))
     same = (F.col("g_series") == F.col("series")) & F.col("g_breakdown").eqNullSafe(F.col("breakdown")) & F.col("g_bucket").eqNullSafe(F.col("bucket"))
     filled = grid.join(found, same, "left").select(F.lit(name).alias("period"), F.col("g_series").alias("series"), F.col("g_breakdown").alias("breakdown"), F.col("g_bucket").alias("bucket"), F.coalesce("value", F.lit(0.0)).alias("value"))
     if formula_text is None:

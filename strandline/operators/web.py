@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.contract import Filter, InvalidQuery, Period
 from strandline.functions import dates, properties
-from strandline.functions.times import MINUTE, SECOND, bucket
+from strandline.functions.times import MINUTE, SECOND, bucket, floor_to
 from strandline.operators.relation import Source, relation
-from strandline.operators.sessions import gap_flag
+from strandline.operators.sessions import number_sessions
+from strandline.session import local_rows
 
 GAP = 30 * MINUTE
 BOUNCE_US = 10 * SECOND
@@ -18,39 +19,42 @@ DIRECT = "$direct"
 ORDER = ("at", "uuid")
 
 
-def sessionized(source: Source, period: Period, filters: list[Filter] | None = None) -> DataFrame:
-    """Events of the period with `session`: their session_id, or the person's run of events
-    without one that no pause above 30 minutes interrupts."""
-    events = relation(source, period.start, period.end).where(properties.explore_condition(filters or [], period.end))
-    with_id = events.where(F.coalesce("session_id", F.lit("")) != "").withColumn("session", F.concat(F.lit("s"), F.col("session_id")))
-    order = Window.partitionBy("person_id").orderBy(*ORDER)
-    rest = events.where(F.coalesce("session_id", F.lit("")) == "").withColumn("starts", gap_flag(F.col("at"), F.lag("at").over(order), GAP))
-    run = F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return with_id.unionByName(rest.withColumn("session", F.concat(F.lit("p"), F.col("person_id"), F.lit("\u001f"), run)).drop("starts"))
-
-
 def session_facts(source: Source, period: Period, filters: list[Filter] | None = None) -> DataFrame:
     """One row per session with a pageview: person_id, start_at, duration_us, pageviews,
     autocaptures, entry_page, exit_page, the entry dimensions, bounced.
 
-    Entry values are those of the first pageview that has one. Bounced: one pageview, no
-    autocapture, under ten seconds.
+    A session is all events of a session_id, or a person's run of events without one that no pause
+    above 30 minutes interrupts. Entry values are those of the first pageview that has one.
+    Bounced: one pageview, no autocapture, under ten seconds. Events without a session_id are
+    first combined per person and 30 minutes, so the window that finds the pauses sees at most 48
+    rows a day of anyone, however many events they have.
     """
+    events = relation(source, period.start, period.end).where(properties.explore_condition(filters or [], period.end))
+    named = F.coalesce("session_id", F.lit("")) != ""
     view = F.col("event") == "$pageview"
-    at = F.struct(*ORDER)
-    first = lambda c: F.min_by(c, F.when(view & F.col(c).isNotNull(), at)).alias(c)
-    grouped = sessionized(source, period, filters).groupBy("session").agg(
+    first = lambda c: F.min(F.when(view & F.col(c).isNotNull(), F.struct(*ORDER, F.col(c).alias("value"))))
+    pieces = events.groupBy(named.alias("named"), F.when(named, F.col("session_id")).otherwise(F.col("person_id")).alias("key"), F.when(named, 0).otherwise(floor_to(F.col("at"), GAP)).alias("slot")).agg(
         F.count_if(view).alias("pageviews"),
         F.count_if(F.col("event") == "$autocapture").alias("autocaptures"),
-        F.min("at").alias("start_at"),
-        (F.max("at") - F.min("at")).alias("duration_us"),
-        F.min_by("person_id", F.when(view, at)).alias("person_id"),
-        F.min_by("pathname", F.when(view & F.col("pathname").isNotNull(), at)).alias("entry_page"),
-        F.max_by("pathname", F.when(view & F.col("pathname").isNotNull(), at)).alias("exit_page"),
-        *(first(c) for c in ENTRY_DIMENSIONS),
+        F.min("at").alias("slot_start"),
+        F.max("at").alias("slot_end"),
+        first("person_id").alias("person_id"),
+        first("pathname").alias("entry_page"),
+        F.max(F.when(view & F.col("pathname").isNotNull(), F.struct(*ORDER, F.col("pathname").alias("value")))).alias("exit_page"),
+        *(first(c).alias(c) for c in ENTRY_DIMENSIONS),
+    )
+    numbered = number_sessions(pieces, ["named", "key"], GAP)
+    values = ("person_id", "entry_page", *ENTRY_DIMENSIONS)
+    grouped = numbered.groupBy("named", "key", "session_no").agg(
+        F.sum("pageviews").alias("pageviews"),
+        F.sum("autocaptures").alias("autocaptures"),
+        F.min("slot_start").alias("start_at"),
+        (F.max("slot_end") - F.min("slot_start")).alias("duration_us"),
+        F.max("exit_page")["value"].alias("exit_page"),
+        *(F.min(c)["value"].alias(c) for c in values),
     )
     bounced = (F.col("pageviews") == 1) & (F.col("autocaptures") == 0) & (F.col("duration_us") < BOUNCE_US)
-    return grouped.where("pageviews > 0").withColumn("bounced", bounced)
+    return grouped.where("pageviews > 0").drop("named", "key", "session_no").withColumn("bounced", bounced)
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -77,7 +81,7 @@ def over_time(source: Source, period: Period, filters: list[Filter] | None = Non
     """bucket, visitors, pageviews for every bucket of the period."""
     views = relation(source, period.start, period.end).where(properties.explore_condition(filters or [], period.end)).where(F.col("event") == "$pageview")
     counted = views.groupBy(bucket(F.col("at"), period.interval).alias("b")).agg(F.countDistinct("person_id").alias("visitors"), F.count(F.lit(1)).alias("pageviews"))
-    grid = source.events.sparkSession.createDataFrame([(b,) for b in dates.buckets(period)], "bucket long")
+    grid = local_rows(source.events.sparkSession, [(b,) for b in dates.buckets(period)], "bucket long")
     return grid.join(counted, F.col("bucket") == F.col("b"), "left").select("bucket", F.coalesce("visitors", F.lit(0)).alias("visitors"), F.coalesce("pageviews", F.lit(0)).alias("pageviews"))
 
 

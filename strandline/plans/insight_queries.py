@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.contract import Breakdown, Exclusion, Filter, Funnel, Paths, Period, Series
 from strandline.functions import dates, properties
 from strandline.functions.times import DAY, HOUR, MINUTE
-from strandline.operators import explore, funnels, paths, retention, trends, web
+from strandline.operators import explore, funnels, identity, paths, retention, trends, web
 from strandline.operators.relation import Source, relation
 from strandline.plans.problem_queries import table
 
@@ -166,6 +166,14 @@ def reconcile(spark: SparkSession, folder: str) -> DataFrame:
     return explore.reconcile(table(spark, folder, "captured_events"), table(spark, folder, "event_mirror"))
 
 
+def feed_of_person(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest events of one person, over all its distinct ids."""
+    ids = table(spark, folder, "distinct_ids")
+    owner = explore.find_person(table(spark, folder, "persons"), ids, "u-16101").select(F.col("project_id").alias("o_project"), F.col("id").alias("o_person"))
+    mine = identity.latest(ids).join(owner, (F.col("project_id") == F.col("o_project")) & (F.col("person_id") == F.col("o_person")), "left_semi")
+    return explore.feed(table(spark, folder, "captured_events"), 200, distinct_ids=mine).select("uuid", "event", "at")
+
+
 FILTERS = {
     "exact": Filter("plan", "exact", ["free", "pro", "Team "]),
     "is_not": Filter("plan", "is_not", "free"),
@@ -240,6 +248,7 @@ QUERIES |= {
     "web_live": web_live,
     "feed_page": feed_page,
     "feed_filtered": feed_filtered,
+    "feed_of_person": feed_of_person,
     "persons_list": persons_list,
     "persons_search": persons_search,
     "person_stats": person_stats,
@@ -474,6 +483,9 @@ SQL |= {
     "web_live": f"WITH {_EV} SELECT count(DISTINCT person) AS visitors FROM ev WHERE event = '$pageview' AND us >= {NOW - 5 * MINUTE} AND us <= {NOW}",
     "feed_page": f"SELECT uuid, event, distinct_id, epoch_us(timestamp) AS at FROM captured_events WHERE epoch_us(timestamp) < {END} ORDER BY timestamp DESC, uuid DESC LIMIT 200",
     "feed_filtered": f"SELECT uuid, event, epoch_us(timestamp) AS at FROM captured_events WHERE (contains(lower({_text('plan')}), 'team') OR contains(lower({_text('plan')}), 'ent')) AND browser IS NOT NULL ORDER BY timestamp DESC, uuid DESC LIMIT 100",
+    "feed_of_person": """WITH ids AS (SELECT project_id, distinct_id, person_id FROM distinct_ids QUALIFY row_number() OVER (PARTITION BY project_id, distinct_id ORDER BY seq DESC, person_id DESC) = 1),
+        mine AS (SELECT distinct_id FROM ids WHERE (project_id, person_id) IN (SELECT project_id, person_id FROM ids WHERE distinct_id = 'u-16101' UNION ALL SELECT project_id, id FROM persons WHERE id = 'u-16101'))
+        SELECT uuid, event, epoch_us(timestamp) AS at FROM captured_events WHERE distinct_id IN (SELECT distinct_id FROM mine) ORDER BY timestamp DESC, uuid DESC LIMIT 200""",
     "persons_list": "SELECT id, created_at, coalesce(nullif(trim(json_extract_string(properties, '/email')), ''), nullif(trim(json_extract_string(properties, '/name')), ''), id) AS display_name FROM persons ORDER BY created_at DESC, id DESC LIMIT 100",
     "persons_search": """SELECT id, created_at FROM persons p WHERE starts_with(id, 'u-1') OR EXISTS (SELECT 1 FROM distinct_ids d WHERE d.project_id = p.project_id AND d.person_id = p.id AND starts_with(d.distinct_id, 'u-1'))
         OR contains(lower(coalesce(json_extract_string(properties, '/email'), '')), 'u-1') OR contains(lower(coalesce(json_extract_string(properties, '/name'), '')), 'u-1') ORDER BY created_at DESC, id DESC LIMIT 100""",

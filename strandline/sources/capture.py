@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
+from urllib.parse import parse_qs
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +23,89 @@ BROWSERS = (("Edge", r"Edg(?:e|A|iOS)?/([\d.]+)"), ("Opera", r"(?:OPR|Opera)/([\
 SYSTEMS = (("Windows 10", r"Windows NT 10"), ("Windows", r"Windows"), ("iOS", r"iPhone|iPad|iPod"), ("Mac OSX", r"Mac OS X"), ("Android", r"Android"), ("ChromeOS", r"CrOS"), ("Linux", r"Linux"))
 
 
-def _member(document: str | Column, key: str) -> Column:
-    """The raw JSON of a top-level member: strings unquoted, others in JSON form."""
-    return F.variant_get(F.try_parse_json(document), f"$['{key}']", "string")
+LZ_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
+MAX_BODY = 20 << 20
+
+
+def unpack_lz(text: str) -> str | None:
+    """The text behind lz-string's base64 form; null if it is damaged.
+
+    Codes are read least bit first and get one bit longer whenever the table is full. Codes 0 and
+    1 bring a new character of 8 or 16 bits, 2 ends the text, others repeat an entry.
+    """
+    bits = iter([LZ_LETTERS.index(c) >> k & 1 for c in text if c in LZ_LETTERS for k in range(5, -1, -1)])
+
+    def read(n: int) -> int:
+        return sum(next(bits) << k for k in range(n))
+
+    table: list[str] = ["", "", ""]
+    width, room, last, out, size = 2, 4, None, [], 0
+    try:
+        while True:
+            code = read(width)
+            if code == 2:
+                return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            if code < 2:
+                entry = chr(read(8 if code == 0 else 16))
+                table.append(entry)
+                room -= 1
+                if last is None:
+                    width, room = 3, 4
+                elif room == 0:
+                    room, width = 1 << width, width + 1
+            elif code < len(table):
+                entry = table[code]
+            elif code == len(table) and last:
+                entry = last + last[0]
+            else:
+                return None
+            out.append(entry)
+            size += len(entry)
+            if size > MAX_BODY:
+                return None
+            if last is not None:
+                table.append(last + entry[0])
+                room -= 1
+                if room == 0:
+                    room, width = 1 << width, width + 1
+            last = entry
+    except (StopIteration, RuntimeError):
+        return None
+
+
+def unpack(body: bytes | None, how: str | None) -> str | None:
+    """A request body as JSON text: gzip, base64, lz64 or form fields undone, as told by `how` or
+    seen from the bytes. Null if it can't be read or is larger than 20 MiB."""
+    if not body:
+        return None
+    try:
+        for _ in range(3):
+            if body[:2] == b"\x1f\x8b":
+                unzip = zlib.decompressobj(31)
+                body = unzip.decompress(body, MAX_BODY)
+                if unzip.unconsumed_tail:
+                    return None
+            elif body.startswith(b"data=") or b"&data=" in body:
+                body = parse_qs(body.decode(), keep_blank_values=True)["data"][0].encode()
+            elif how == "lz64":
+                return unpack_lz(body.decode())
+            elif body.lstrip()[:1] not in (b"{", b"["):
+                body = base64.b64decode(body + b"=" * (-len(body) % 4), validate=True)
+            else:
+                break
+        return body.decode("utf-8", "replace") if len(body) <= MAX_BODY else None
+    except (ValueError, KeyError, zlib.error, IndexError):
+        return None
+
+
+def unpack_bodies(requests: DataFrame) -> DataFrame:
+    """`requests` (body as bytes, compression) with the body as text; see `unpack`."""
+
+    @F.pandas_udf("string")
+    def text(body: pd.Series, how: pd.Series) -> pd.Series:
+        return pd.Series([unpack(None if b is None else bytes(b), h) for b, h in zip(body, how)], dtype=object)
+
+    return requests.withColumn("body", text("body", "compression"))
 
 
 def timestamp_us(text: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandline.functions.times import HOUR, micros
@@ -51,7 +50,7 @@ def ingest(bodies: DataFrame, projects: DataFrame, root: str, checkpoint: str, s
 
     def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        events = capture.enrich(capture.resolve(capture.parse(batch)), salt).join(F.broadcast(projects) if projects.limit(100_001).count() <= 100_000 else projects, "token")
+        events = capture.enrich(capture.resolve(capture.parse(batch)), salt).join(projects, "token")
         events = events.select("project_id", *lake.EVENT_SCHEMA.names)
         target = f"{root.rstrip('/')}/batch={number}"
         fresh = write_once(spark, target, lambda draft: lake.publish(events, draft))

@@ -1,6 +1,9 @@
+import base64
+import gzip
 import hashlib
 import json
 import random
+from urllib.parse import quote
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +178,42 @@ def test_body_shapes(spark):
     assert capture.rejected(bodies(spark, e, "junk")).count() == 1
 
 
+def pack_lz(text):
+    """An encoder for the tests: new characters as they are, known ones by their single entry."""
+    bits, table, width, room, last = [], ["", "", ""], 2, 4, None
+    put = lambda value, n: bits.extend(value >> k & 1 for k in range(n))
+    for c in text:
+        if c in table[3:]:
+            put(table.index(c, 3), width)
+        else:
+            put(0 if ord(c) < 256 else 1, width)
+            put(ord(c), 8 if ord(c) < 256 else 16)
+            table.append(c)
+            room -= 1
+            if last is None:
+                width, room = 3, 4
+            elif room == 0:
+                room, width = 1 << width, width + 1
+        if last is not None:
+            table.append(last + c)
+            room -= 1
+            if room == 0:
+                room, width = 1 << width, width + 1
+        last = c
+    put(2, width)
+    bits += [0] * (-len(bits) % 6)
+    return "".join(capture.LZ_LETTERS[sum(b << (5 - k) for k, b in enumerate(bits[i : i + 6]))] for i in range(0, len(bits), 6))
+
+
+def test_packed_bodies(spark):
+    body = '[{"event":"x","token":"t","distinct_id":"дé"}]'
+    plain = base64.b64encode(body.encode())
+    cases = [(body.encode(), None), (gzip.compress(body.encode()), "gzip"), (plain, "base64"), (b"data=" + quote(plain).encode(), None), (pack_lz(body).encode(), "lz64"), (gzip.compress(plain), None)]
+    broken = [(b"\x1f\x8bnope", None), (b"%%%", None), (None, None), (b"", None), (b"AAA", "lz64")]
+    df = spark.createDataFrame(cases + broken, "body binary, compression string")
+    assert [r["body"] for r in capture.unpack_bodies(df).collect()] == [body] * len(cases) + [None] * len(broken)
+
+
 def test_field_resolution(spark):
     at = lambda **e: capture.resolve(capture.parse(bodies(spark, {"event": "x", "token": "t", "distinct_id": "d"} | e, sent=e.pop("sent", None)))).select(F.unix_micros("timestamp")).first()[0]
     assert at() == NOW
