@@ -8,6 +8,7 @@ doesn't repeat itself counts only if it is stitched from phrases found on other
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -29,20 +30,21 @@ MIN_HOSTS = 3
 MIN_SHARE = 0.5
 
 INVISIBLE = regex.compile(r"\p{Cf}|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-ANCHOR = regex.compile(r"(?is)<a\s[^>]*>(.*?)</a>")
-BREAK = regex.compile(r"(?i)</?(?:li|ul|ol|br|p|div|tr|h\d)\b[^>]*>")
-MARKDOWN_LINK = regex.compile(r"\[([^\]\n]*)\]\((\S+?)\)")
+ANCHOR = re.compile(r"(?is)<a\s[^>]*>(.*?)</a>")
+BREAK = re.compile(r"(?i)</?(?:li|ul|ol|br|p|div|tr|h\d)\b[^>]*>")
+MARKDOWN_LINK = re.compile(r"\[([^\]\n]*)\]\((\S+?)\)")
 URL = regex.compile(r"(?i)(?:https?://|www\.)\S+|(?<![\w@./-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s|,;)]*|(?<=[»→>=:|-]\s)[a-z0-9-]+\.[a-z]{2,}(?=\s*$)")
-DOMAIN = regex.compile(r"(?i)[a-z0-9]\.[a-z]{2,}(?:/|\s*$|\s*\n)|www\.")
-TAGS = regex.compile(r"<[^<>\n]{1,200}>")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+DOMAIN = re.compile(r"\.[A-Za-z]{2}")
+TAGS = re.compile(r"<[^<>\n]{1,200}>")
 LINK = "\ue000"
-TECHNICAL = regex.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:|[{}]|\w\(|\w=\w|^\s*\|.*\|\s*$|;\s*$|^\s*(?:SELECT|FROM|WHERE|GROUP BY|WITH)\b")
+TECHNICAL = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:|[{}]|\w\(|\w=\w|^\s*\|.*\|\s*$|;\s*$|^\s*(?:SELECT|FROM|WHERE|GROUP BY|WITH)\b")
 PRICE = regex.compile(r"\d[\d.,]*\s?(?:\p{Sc}|\p{Lu}{3})(?!\w)|\p{Sc}\s?\d")
-ENDS = regex.compile(r"[.!?…。！？](?=\s|$|[^\s\d])|[.!?…。！？]$")
-SENTENCE_END = regex.compile(r"[.!?…。！？:][\"')\]]*\s*$")
+ENDS = re.compile(r"[.!?…。！？](?=\s|$|[^\s\d])|[.!?…。！？]$")
+SENTENCE_END = re.compile(r"[.!?…。！？:][\"')\]]*\s*$")
 #: What may separate a line's items, and whether many short items so separated are a list for certain.
-SEPARATORS = [(regex.compile(p), strong) for p, strong in ((r"\s*[·•|;]\s*", True), (r"\s+[/*»–-]\s+", True), (r"\s*[,、]\s*", True), (r"[.。]\s+", False))]
-LIST_MARKS = regex.compile(r"[\s,;|·•/]+")
+SEPARATORS = [(re.compile(p), strong) for p, strong in ((r"\s*[·•|;]\s*", True), (r"\s+[/*»–-]\s+", True), (r"\s*[,、]\s*", True), (r"[.。]\s+", False))]
+LIST_MARKS = re.compile(r"[\s,;|·•/]+")
 MANY_ITEMS = 12
 TAG = regex.compile(r"^[#@]\p{L}[\p{L}\p{N}_-]*$")
 LETTERS = regex.compile(r"^[\p{L}\p{M}][\p{L}\p{M}'’-]*$")
@@ -51,7 +53,7 @@ STRUNG = regex.compile(r"^[#@]?[\p{L}\p{M}]+(?:[-_][\p{L}\p{M}]+)*$")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…–—。、！？"
 EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 LABEL = regex.compile(r"^\s*\p{L}[\p{L} ]{0,20}(?::\s+|=)")
-BETWEEN = regex.compile(r"[\s;|·•]+|[,、#@](?=\S)")
+BETWEEN = re.compile(r"[\s;|·•]+|[,、#@](?=\S)")
 UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 
 
@@ -149,7 +151,7 @@ def normal_words(tokens: Iterable[str]) -> list[str]:
 def prepare(text: str) -> str:
     """Visible characters in their plain form; a link is its text and one LINK mark."""
     text = unicodedata.normalize("NFKC", text)
-    if not text.isprintable():
+    if not text.isascii() or CONTROL.search(text):
         text = INVISIBLE.sub("", text)
     if "<" in text:
         text = ANCHOR.sub(lambda m: f" {m[1]} {LINK} ", text)
