@@ -73,8 +73,8 @@ def demand(sizes: DataFrame, targets: DataFrame, ramp: float = 0.5) -> DataFrame
     whole stay as targeted; 0 keeps the weights constant.
     """
     stats = sizes.where("n_tokens > 0").groupBy(F.col("source").alias("s_source")).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs"))
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))
-    known = targets.join(stats, F.col("source").eqNullSafe(F.col("s_source")), "left").join(F.broadcast(total))
+    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens")).first()["all_tokens"]
+    known = targets.join(stats, F.col("source").eqNullSafe(F.col("s_source")), "left")
     mix = Window.partitionBy("mix_name")
     by_length = mix.orderBy(F.coalesce(F.col("supply") / F.col("n_docs"), F.lit(0.0)), "source")
     rank = known.withColumn("rank", F.percent_rank().over(by_length))
@@ -82,7 +82,7 @@ def demand(sizes: DataFrame, targets: DataFrame, ramp: float = 0.5) -> DataFrame
     tilt = (F.col("rank") - F.col("centre")) * ramp
     reach = F.least(F.col("target_tokens"), F.col("max_repeats") * F.coalesce("supply", F.lit(0)))
     return (
-        centre.withColumn("target_tokens", F.col("target_share") * F.col("size_ratio") * F.col("all_tokens"))
+        centre.withColumn("target_tokens", F.col("target_share") * F.col("size_ratio") * F.lit(total))
         .withColumn("planned_tokens", reach)
         .withColumn("schedule", linear_schedule(F.col("target_share") * (1 - tilt), F.col("target_share") * (1 + tilt)))
         .select("mix_name", "source", "target_share", "max_repeats", "target_tokens", "planned_tokens", F.coalesce("supply", F.lit(0)).alias("supply"), "schedule")
