@@ -66,7 +66,9 @@ def totals(source: Source, period: Period, filters: list[Filter] | None = None)
     views = relation(source, period.start, period.end).where(properties.explore_condition(filters or [], period.end)).where(F.col("event") == "$pageview")
     a = views.agg(F.countDistinct("person_id").alias("visitors"), F.count(F.lit(1)).alias("pageviews"))
     b = session_facts(source, period, filters).agg(F.count(F.lit(1)).alias("sessions"), _rate(F.count_if("bounced"), F.count(F.lit(1))).alias("bounce_rate"), (F.avg("duration_us") / SECOND).alias("session_duration_s"))
-    return a.join(F.broadcast(b))  # one row each
+    # one row each, side by side
+    both = a.select("*", *(F.lit(None).cast(t).alias(c) for c, t in b.dtypes)).unionByName(b.select("*", *(F.lit(None).cast(t).alias(c) for c, t in a.dtypes)))
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def overview(source: Source, period: Period, filters: list[Filter] | None = None, compare: bool = True) -> DataFrame:

@@ -31,10 +31,11 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share.
+    """A new path of this application in the folder that all executors share.
 
     The cluster names that folder in `spark.checkpoint.dir`. Only where it is unset, as in
-    local tests, a folder of this machine is made and removed at exit.
+    local tests, a folder of this machine is made and removed at exit. `clean` removes all paths
+    of the application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -42,7 +43,18 @@ def scratch(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/strandline/{uuid.uuid4().hex}"
+    return f"{_own(spark, root)}/{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession, root: str) -> str:
+    return f"{root.rstrip('/')}/strandline/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove this application's scratch data. No result that is still to be read may need it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        remove(spark, _own(spark, root))
 
 
 def remove(spark: SparkSession, path: str) -> None:

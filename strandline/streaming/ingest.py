@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandline.functions.times import HOUR, micros
@@ -12,6 +14,7 @@ from strandline.operators import late_events
 from strandline.session import remove
 from strandline.sources import capture, lake
 
+LOG = logging.getLogger(__name__)
 BODY_SCHEMA = "body string, received_us long, sent_at_us long, user_agent string, ip string"
 
 
@@ -58,7 +61,7 @@ def ingest(bodies: DataFrame, projects: DataFrame, root: str, checkpoint: str, s
             try:
                 forward(spark.read.parquet(target), number)
             except Exception as e:  # noqa: BLE001
-                print(f"batch {number} was not forwarded: {e}")
+                LOG.warning("batch %d was not forwarded: %s", number, e)
 
     return bodies.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(**(trigger or {"processingTime": "1 second"})).start()
 

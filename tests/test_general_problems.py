@@ -254,3 +254,17 @@ def test_publication_and_reading_back(spark, tmp_path):
     snap = lake.directory_snapshot(spark, root, "project_id=p", "day=1970-01-01", "day=1970-01-02")
     assert lake.read(spark, snap).count() == 1
     assert lake.read(spark, lake.Snapshot((), "0")).count() == 0
+
+
+def test_scratch_data_is_written_in_the_shared_folder_and_can_be_cleaned(spark, rows):
+    from pathlib import Path
+
+    from strandline.session import clean, materialize
+
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    written = materialize(df)
+    assert rows(written) == rows(df) and written.schema == df.schema
+    folder = Path(scratch(spark)).parent
+    assert any(folder.iterdir())
+    clean(spark)
+    assert not folder.exists()
