@@ -1,7 +1,7 @@
 """Pages made of keywords, links or tags instead of sentences.
 
 Two kinds of evidence. Within the page: the share of its words that stand in lists of links, tags,
-goods or strung-together words, or in unpunctuated word lists that keep repeating themselves.
+goods or strung-together words, or in words that keep repeating themselves, punctuated or not.
 Between pages: five-word phrases and the number of different hosts that carry them; a list that
 doesn't repeat itself counts only if it is stitched from phrases found on other hosts.
 """
@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +29,16 @@ PHRASE_WORDS = 5
 MIN_HOSTS = 3
 #: Share of the words that must stand in lists, and of an undecided list's phrases on other hosts.
 MIN_SHARE = 0.5
+#: Words looked at together in a sentence, and the share of different ones that prose exceeds there.
+PIECE_WORDS = 20
+PROSE_VARIETY = 0.75
 
 INVISIBLE = regex.compile(r"\p{Cf}|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 ANCHOR = re.compile(r"(?is)<a\s[^>]*>(.*?)</a>")
 BREAK = re.compile(r"(?i)</?(?:li|ul|ol|br|p|div|tr|h\d)\b[^>]*>")
 MARKDOWN_LINK = re.compile(r"\[([^\]\n]*)\]\((\S+?)\)")
 URL = regex.compile(r"(?i)(?:https?://|www\.)\S+|(?<![\w@./-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s|,;)]*|(?<=[»→>=:|-]\s)[a-z0-9-]+\.[a-z]{2,}(?=\s*$)")
+DIGITS = re.compile(r"\d+")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 DOMAIN = re.compile(r"\.[A-Za-z]{2}")
 TAGS = re.compile(r"<[^<>\n]{1,200}>")
@@ -42,6 +47,7 @@ TECHNICAL = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:|[{}]|\w\(|\w=\w|^\s*\|.*\|\s*$
 PRICE = regex.compile(r"\d[\d.,]*\s?(?:\p{Sc}|\p{Lu}{3})(?!\w)|\p{Sc}\s?\d")
 ENDS = re.compile(r"[.!?…。！？](?=\s|$|[^\s\d])|[.!?…。！？]$")
 SENTENCE_END = re.compile(r"[.!?…。！？:][\"')\]]*\s*$")
+LAST_WORD = re.compile(r"^[^.!?…。！？]*[.!?…。！？]+[\"')\]]*$")
 #: What may separate a line's items, and whether many short items so separated are a list for certain.
 SEPARATORS = [(re.compile(p), strong) for p, strong in ((r"\s*[·•|;]\s*", True), (r"\s+[/*»–-]\s+", True), (r"\s*[,、]\s*", True), (r"[.。]\s+", False))]
 LIST_MARKS = re.compile(r"[\s,;|·•/]+")
@@ -131,9 +137,49 @@ def classify(line: str) -> Line:
 
 def repeats_itself(tokens: list[str]) -> bool:
     """Far fewer different words than prose of that length has, and most of them more than once."""
-    counts = Counter(tokens)
     n = len(tokens)
-    return n >= 20 and len(counts) <= 5 * n**0.5 and sum(c for c in counts.values() if c > 1) >= 0.75 * n
+    if n < 20 or len(set(tokens)) > 5 * n**0.5:
+        return False
+    return sum(c for c in Counter(tokens).values() if c > 1) >= 0.75 * n
+
+
+def keyword_sentences(lines: list[Line], words: list[str]) -> bool:
+    """Whether lines with end marks, of these words, are keywords with marks put between them.
+
+    Copies of a sentence and sentences of one pattern also repeat themselves over a page; prose
+    doesn't within a sentence. Sentences without that are keywords only if different ones are made
+    of very few words in ever new order, numbers apart: in a pattern a word has few successors.
+    """
+    if not repeats_itself(words):
+        return False
+    pieces: list[list[str]] = [[]]
+    for line in lines:
+        for token in line.tokens:
+            pieces[-1].append(token)
+            if len(pieces[-1]) == PIECE_WORDS or LAST_WORD.search(token):
+                pieces.append([])
+        pieces.append([])
+    found = [normal_words(piece) for piece in pieces]
+    if sum(len(set(piece)) for piece in found) <= PROSE_VARIETY * len(words):
+        return True
+    different = {tuple(DIGITS.sub("0", w) for w in piece) for piece in found}
+    n, vocabulary = sum(map(len, different)), len({w for piece in different for w in piece})
+    pairs = {pair for piece in different for pair in pairwise(piece)}
+    return n >= PIECE_WORDS and vocabulary <= 2 * n**0.5 and len(pairs) >= 3 * vocabulary
+
+
+def keyword_lines(lines: list[Line], each: list[list[str]]) -> list[int]:
+    """Which sentence lines, of the given words, are keywords: alone, or with others beside them."""
+    found: list[int] = []
+    for sentences, group in groupby(range(len(lines)), lambda i: lines[i].kind == "sentence"):
+        if sentences:
+            run = list(group)
+            alone = [i for i in run if keyword_sentences([lines[i]], each[i])]
+            rest = sorted(set(run).difference(alone))
+            narrow = [i for i in rest if len(set(each[i])) <= PROSE_VARIETY * len(each[i]) and len(each[i]) <= PIECE_WORDS]
+            pooled = next((p for p in (rest, narrow) if len(p) > 1 and keyword_sentences([lines[i] for i in p], [w for i in p for w in each[i]])), [])
+            found += alone + pooled
+    return found
 
 
 def _normal(token: str) -> str:
@@ -193,9 +239,11 @@ def examine(text: str | None) -> Evidence:
         found = judge([lines[i] for i in run])
         for i in run:
             verdict[i] = whole if found != "listed" and len(run) >= 4 and whole == "listed" else found
+    each = [normal_words(line.tokens) for line in lines]
+    for i in keyword_lines(lines, each):
+        verdict[i] = "listed"
     words, doubtful = [], []
-    for line, found in zip(lines, verdict):
-        own = normal_words(line.tokens)
+    for own, found in zip(each, verdict):
         words += own
         doubtful += [found == "undecided"] * len(own)
     sizes = {name: sum(line.weight for line, found in zip(lines, verdict) if found == name) for name in ("listed", "undecided")}

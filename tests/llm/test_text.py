@@ -175,3 +175,38 @@ def test_an_undecided_list_counts_if_other_hosts_have_its_phrases(spark):
     assert {d for d, (s, _) in found.items() if s} == {2, 3, 4}
     assert found[1][1] == 0.0 and found[2][1] == 1.0 and len(found) == 7
     assert stuffed_pages.stuffed_pages(df.limit(0)).count() == 0
+
+
+def keyword_sentence(pick, word):
+    return f"{word} {pick.choice(MODIFIERS)} {word.lower()}, {pick.choice(MODIFIERS)} {word.lower()} {pick.choice(MODIFIERS)} {word.lower()}{pick.choice('.!?')}"
+
+
+MODIFIERS = "top cheap review buy best online free price".split()
+PICK = random.Random(3)
+PUNCTUATED = {
+    "paragraph": " ".join(keyword_sentence(PICK, "Alert") for _ in range(30)),
+    "a line each": "\n".join(keyword_sentence(PICK, "Alert") for _ in range(12)),
+    "beside prose": PROSE + "\n" + " ".join(keyword_sentence(PICK, "Data export") for _ in range(12)),
+    "lines around prose": "\n".join([keyword_sentence(PICK, "Alert") for _ in range(6)] + [PROSE] + [keyword_sentence(PICK, "Alert") for _ in range(6)]),
+    "without repeats in a sentence": " ".join(" ".join(PICK.sample(MODIFIERS, 7)) + "." for _ in range(20)),
+    "spelled with dots": " ".join(PICK.choices(["b.u.y", "d.e.v.i.c.e. .i.d", "device id", "CHEAP", "f.r.e.e", "review"], k=80)) + " top.",
+}
+PLACES = ["painel", "perfil", "funil", "filtro", "evento"]
+PUNCTUATED_PROSE = {
+    "one pattern": " ".join(f"De novo: quando o {PICK.choice(PLACES)} fica pendente, o sistema apaga o {PICK.choice(PLACES)} depois de {i} minutos, como na outra vez." for i in range(20)),
+    "numbers alone differ": " ".join(f"The nightly job took {i} minutes and wrote {i * 7} rows again." for i in range(20)),
+    "copies": "\n".join([PROSE.strip()] * 12),
+    "partly keywords": PROSE * 6 + "\n" + " ".join(keyword_sentence(PICK, "Alert") for _ in range(5)),
+}
+
+
+@pytest.mark.parametrize("name", PUNCTUATED)
+def test_keywords_with_end_marks_are_stuffed(name):
+    e = stuffed_pages.examine(PUNCTUATED[name])
+    assert e.listed > 0.5 * e.words
+
+
+@pytest.mark.parametrize("name", PUNCTUATED_PROSE)
+def test_sentences_of_one_pattern_are_prose(name):
+    e = stuffed_pages.examine(PUNCTUATED_PROSE[name])
+    assert e.listed <= 0.5 * e.words
