@@ -2,7 +2,8 @@
 
 import pytest
 
-from strandline.llm import queries
+from strandline.llm import bitmaps, queries
+from strandline.session import materialize
 from tests.compare import FOLDER, database, same
 
 
@@ -45,3 +46,12 @@ def test_p3_equals_brute_force(spark, db):
     n = db.execute("SELECT count(DISTINCT distinct_id) FROM captured_events").fetchone()[0]
     expected = {" > ".join(p): s for p, s in grow(sequences, -(-n // 100), 5).items() if len(p) >= 3}
     assert {r["pattern"]: r["support"] for r in queries.p3_found(spark, FOLDER).collect()} == expected
+
+
+def test_the_trailing_week_is_made_of_stored_daily_buckets(spark, db, monkeypatch):
+    stored = []
+    monkeypatch.setattr(queries, "materialize", lambda df: stored.append(materialize(df)) or stored[-1])
+    same(queries.p1_trailing_week(spark, FOLDER), db, queries.SQL["p1_trailing_week"])
+    assert [set(df.columns) for df in stored] == [{"project_id", "day_no", "bucket", "words"}]
+    daily = bitmaps.cardinality(bitmaps.unpack(stored[0], ["project_id", "day_no"]), ["project_id", "day_no"])
+    same(daily.drop("error_bound"), db, "SELECT project_id, epoch_us(timestamp) // 86400000000 AS day_no, count(DISTINCT distinct_id) AS n_distinct FROM captured_events WHERE distinct_id IS NOT NULL GROUP BY ALL")
