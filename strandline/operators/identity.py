@@ -13,7 +13,6 @@ from strandline.session import materialize
 
 # The events that join two ids, and where the other id stands.
 JOINS = {"$identify": "$anon_distinct_id", "$create_alias": "alias", "$merge_dangerously": "alias"}
-MAX_ROUNDS = 60
 
 
 def other_id() -> Column:
@@ -31,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     the longest chain; each is written down, so a lost executor repeats one round at most.
     """
     current = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    for _ in range(MAX_ROUNDS):
+    changed = True
+    while changed:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         larger = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
@@ -40,10 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = down.join(smallest, "u")
         linked = pairs.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(smallest.select(F.col("m").alias("a"), F.col("u").alias("b")))
         following = materialize(linked.where("a <> b").distinct())
-        changed = following.exceptAll(current).limit(1).count() + current.exceptAll(following).limit(1).count()
+        changed = following.exceptAll(current).limit(1).count() + current.exceptAll(following).limit(1).count() > 0
         current = following
-        if not changed:
-            break
     members = current.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return members.unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
 

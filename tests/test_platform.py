@@ -156,6 +156,12 @@ def test_a_long_chain_is_one_component(spark):
     assert identity.components(edges.limit(0)).count() == 0
 
 
+def test_rounds_go_on_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(identity, "MAX_ROUNDS", 1, raising=False)
+    edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(40)], "a string, b string")
+    assert {r["component"] for r in identity.components(edges).collect()} == {"000"}
+
+
 def test_changes_and_groups(spark, rows):
     current = spark.createDataFrame([("p", "a", "x"), ("p", "b", "y")], "project_id string, distinct_id string, person_id string")
     changes = spark.createDataFrame([("p", "a", "z", 1), ("p", "a", "w", 2), ("p", "b", "b", 3)], "project_id string, distinct_id string, person_id string, seq long")
