@@ -17,6 +17,8 @@ from strandline.plans.problem_queries import table
 START, END = (dates._absolute(d)[0] for d in ("2018-01-08", "2018-01-22"))
 NOW = dates._absolute("2018-01-28T12:00:00Z")[0]
 FORTNIGHT = Period(START, END, "day")
+#: All event times of the test data, with the few events that clients with a wrong clock put years back.
+WHOLE = Period(*(dates._absolute(d)[0] for d in ("2012-01-01", "2018-01-29")), "day")
 PURCHASE = "subscription_started"
 
 
@@ -44,8 +46,8 @@ def funnel_of(**more: object) -> Funnel:
     return Funnel(**({"steps": STEPS, "window_us": DAY} | more))
 
 
-def funnel_steps(spark: SparkSession, folder: str, funnel: Funnel) -> DataFrame:
-    found = funnels.outcomes(source(spark, folder), funnel, FORTNIGHT)
+def funnel_steps(spark: SparkSession, folder: str, funnel: Funnel, period: Period = FORTNIGHT) -> DataFrame:
+    found = funnels.outcomes(source(spark, folder), funnel, period)
     if funnel.breakdown:
         found = funnels.with_shown(found, funnel.breakdown.limit)
     steps = funnels.steps(found, len(funnel.steps), funnel.breakdown is not None)
@@ -84,16 +86,16 @@ def lifecycle_actors(spark: SparkSession, folder: str) -> DataFrame:
     return cells.where((F.col("status") == "resurrecting") & (F.col("bucket") == START + 5 * DAY)).select("person_id")
 
 
-def sticky(spark: SparkSession, folder: str) -> DataFrame:
-    return retention.stickiness(source(spark, folder), [Series("$pageview"), Series("$autocapture")], FORTNIGHT)
+def sticky(spark: SparkSession, folder: str, period: Period = FORTNIGHT) -> DataFrame:
+    return retention.stickiness(source(spark, folder), [Series("$pageview"), Series("$autocapture")], period)
 
 
 def sticky_actors(spark: SparkSession, folder: str) -> DataFrame:
     return retention.active_buckets(source(spark, folder), Series("$pageview"), FORTNIGHT).where("n = 2").select("person_id")
 
 
-def walked(spark: SparkSession, folder: str, **more: object) -> DataFrame:
-    return paths.links(source(spark, folder), Paths(**({"edges": 1000} | more)), FORTNIGHT).withColumn("average_s", F.round("average_s", 6))
+def walked(spark: SparkSession, folder: str, period: Period = FORTNIGHT, **more: object) -> DataFrame:
+    return paths.links(source(spark, folder), Paths(**({"edges": 1000} | more)), period).withColumn("average_s", F.round("average_s", 6))
 
 
 def trend_actors(spark: SparkSession, folder: str, math: str) -> DataFrame:
@@ -109,8 +111,8 @@ def sessions_of_web(spark: SparkSession, folder: str) -> DataFrame:
     return facts.select("start_at", "duration_us", "pageviews", "autocaptures", "entry_page", "exit_page", "browser", "bounced")
 
 
-def web_overview(spark: SparkSession, folder: str) -> DataFrame:
-    return web.overview(source(spark, folder), FORTNIGHT).withColumns({c: F.round(c, 6) for c in ("bounce_rate", "session_duration_s")})
+def web_overview(spark: SparkSession, folder: str, period: Period = FORTNIGHT) -> DataFrame:
+    return web.overview(source(spark, folder), period).withColumns({c: F.round(c, 6) for c in ("bounce_rate", "session_duration_s")})
 
 
 def web_over_time(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,6 +259,11 @@ QUERIES |= {
     "catalog_values": catalog_values,
     "project_status": project_status,
     "reconcile_day_event": reconcile,
+    "trends_total_whole": partial(trend, series=[MATHS["total"]], period=WHOLE),
+    "funnel_ordered_whole": partial(funnel_steps, funnel=funnel_of(), period=WHOLE),
+    "paths_all_whole": partial(walked, period=WHOLE),
+    "web_overview_whole": partial(web_overview, period=WHOLE),
+    "stickiness_day_whole": partial(sticky, period=WHOLE),
 }
 
 # ---------------------------------------------------------------- the same in SQL
@@ -503,3 +510,11 @@ SQL["catalog_keys"] = f"""WITH {_MEMBERS}, c AS (SELECT key, CASE WHEN regexp_fu
     SELECT key, CAST(sum(n) AS BIGINT) AS n, min((-n, type))[2] AS type FROM c GROUP BY key ORDER BY n DESC, key LIMIT 500"""
 SQL["catalog_values"] = f"""WITH {_MEMBERS}, c AS (SELECT key, value, count(*) AS n FROM m WHERE value IS NOT NULL AND value <> '' AND length(value) <= 200 AND NOT regexp_matches(key, '(?i)(^|_)(id|uuid|token)$') GROUP BY ALL)
     SELECT key, value, n FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, value) <= 100"""
+_ALL = f"us >= {WHOLE.start} AND us < {WHOLE.end}"
+SQL |= {
+    "trends_total_whole": _trend_sql(_MEASURES["total"], "event = '$pageview'", WHOLE),
+    "funnel_ordered_whole": SQL["funnel_ordered"].replace(_RANGE, _ALL),
+    "paths_all_whole": SQL["paths_all"].replace(_RANGE, _ALL),
+    "web_overview_whole": f"{_overview_sql(WHOLE, 'current')} UNION ALL {_overview_sql(dates.previous(WHOLE), 'previous')}",
+    "stickiness_day_whole": SQL["stickiness_day"].replace(_RANGE, _ALL).replace("range(1, 15)", f"range(1, {len(dates.buckets(WHOLE)) + 1})"),
+}
