@@ -1,9 +1,12 @@
 """Pages made of keywords, links or tags instead of sentences.
 
-Two kinds of evidence. Within the page: the share of its words that stand in lists of links, tags,
-goods or strung-together words, or in words that keep repeating themselves, punctuated or not.
-Between pages: five-word phrases and the number of different hosts that carry them; a list that
-doesn't repeat itself counts only if it is stitched from phrases found on other hosts.
+Two kinds of evidence, and a page needs both. List density: the share of its words that stand in
+lists of links, tags, goods or strung-together words, or in words that keep repeating themselves,
+punctuated or not. Replication: the share of its lists' phrases that lists of other hosts carry too,
+or that the page itself says over and over.
+
+A phrase is two words. Keywords are combined anew on every page, so that of the pages to be found
+hardly one has longer phrases in common with another; what hosts share in long phrases is prose.
 """
 
 from __future__ import annotations
@@ -19,15 +22,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.session import materialize, spread
 
-PHRASE_WORDS = 5
-#: A phrase is replicated if so many hosts carry it.
-MIN_HOSTS = 3
-#: Share of the words that must stand in lists, and of an undecided list's phrases on other hosts.
+PHRASE_WORDS = 2
+#: A phrase is replicated if lists of so many hosts carry it, and as many pages in lists as in prose,
+MIN_HOSTS = 2
+#: or if it comes so often in the lists of one page.
+MIN_TIMES = 3
+#: Share of the words that must stand in lists, and of the lists' phrases that must be replicated.
 MIN_SHARE = 0.5
 #: Words looked at together in a sentence, and the share of different ones that prose exceeds there.
 PIECE_WORDS = 20
@@ -37,12 +43,15 @@ INVISIBLE = regex.compile(r"\p{Cf}|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 ANCHOR = re.compile(r"(?is)<a\s[^>]*>(.*?)</a>")
 BREAK = re.compile(r"(?i)</?(?:li|ul|ol|br|p|div|tr|h\d)\b[^>]*>")
 MARKDOWN_LINK = re.compile(r"\[([^\]\n]*)\]\((\S+?)\)")
-URL = regex.compile(r"(?i)(?:https?://|www\.)\S+|(?<![\w@./-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s|,;)]*|(?<=[»→>=:|-]\s)[a-z0-9-]+\.[a-z]{2,}(?=\s*$)")
+URL = regex.compile(r"(?im)(?:https?://|www\.)\S+|(?<![\w@./-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s|,;)]*|(?<=[»→>=:|-]\s)[a-z0-9-]+\.[a-z]{2,}(?=\s*$)")
 DIGITS = re.compile(r"\d+")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 DOMAIN = re.compile(r"\.[A-Za-z]{2}")
 TAGS = re.compile(r"<[^<>\n]{1,200}>")
 LINK = "\ue000"
+#: Letters of a word with the same mark between them.
+SPACED_OUT = re.compile(r"(?<!\S)[^\w\s]?[^\W\d_]([.*·_~-])[^\W\d_](?:\1[^\W\d_])+[^\w\s]?(?!\S)")
+MARKS = re.compile(r"[^\w\ue000]|_")
 TECHNICAL = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:|[{}]|\w\(|\w=\w|^\s*\|.*\|\s*$|;\s*$|^\s*(?:SELECT|FROM|WHERE|GROUP BY|WITH)\b")
 PRICE = regex.compile(r"\d[\d.,]*\s?(?:\p{Sc}|\p{Lu}{3})(?!\w)|\p{Sc}\s?\d")
 ENDS = re.compile(r"[.!?…。！？](?=\s|$|[^\s\d])|[.!?…。！？]$")
@@ -63,21 +72,26 @@ BETWEEN = re.compile(r"[\s;|·•]+|[,、#@](?=\S)")
 UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 
 
+class Stretch(NamedTuple):
+    """Words of neighbouring lines, all in lists or all in prose; whether each is a phrase alone."""
+
+    listed: bool
+    single: bool
+    words: list[str]
+
+
 class Evidence(NamedTuple):
-    """Words of a text, those in lists for certain, and those in lists that repeat too little to
-    tell; the hash of every phrase, and whether it lies in the latter."""
+    """Words of a text, those in its lists, and its stretches of lists and prose."""
 
     words: int
     listed: int
-    undecided: int
-    phrases: np.ndarray
-    doubtful: np.ndarray
+    stretches: list[Stretch]
 
 
 class Line(NamedTuple):
     tokens: list[str]
     weight: int
-    kind: str  # list, short, plain, technical, sentence
+    kind: str  # list, tags, link, items, goods, plain, technical, sentence, blank
 
 
 def weight(token: str) -> int:
@@ -94,7 +108,8 @@ def _is_goods(part: str) -> bool:
 
 def _is_item(part: str) -> bool:
     tokens = part.split()
-    return _is_goods(part) or (0 < sum(map(weight, tokens)) <= 6 and not regex.search(r"[=(){}]", part))
+    limit = 6 if len(tokens) < 2 or len(tokens) > 6 or part.isascii() else 12
+    return _is_goods(part) or (0 < sum(map(weight, tokens)) <= limit and not regex.search(r"[=(){}]", part))
 
 
 def classify(line: str) -> Line:
@@ -110,7 +125,7 @@ def classify(line: str) -> Line:
     if "#" in line or "@" in line:
         bare = [t for t in LIST_MARKS.split(unlabelled) if t]
         if len(bare) >= 5 and sum(bool(TAG.match(t)) for t in bare) >= 0.6 * len(bare):
-            return Line(tokens, size, "list")
+            return Line(tokens, size, "tags")
     if ends and size >= 7 * ends and SENTENCE_END.search(line):
         return Line(tokens, size, "sentence")
     if TECHNICAL.search(unlabelled) and line.count(";") < 5:
@@ -118,7 +133,7 @@ def classify(line: str) -> Line:
     joined = [p for p in LIST_MARKS.split(unlabelled) if p]
     if len(joined) >= 8 and ends <= 1 and ("_" in line or "-" in line):
         if sum(bool(STRUNG.match(t)) and ("-" in t or "_" in t or len(t) >= 9 or weight(t) >= 3) for t in joined) >= 0.8 * len(joined):
-            return Line(tokens, size, "list")
+            return Line(tokens, size, "tags")
     for separator, strong in SEPARATORS:
         parts = [p for p in separator.split(unlabelled) if p.strip()]
         if len(parts) >= 6:
@@ -206,106 +221,148 @@ def prepare(text: str) -> str:
         text = MARKDOWN_LINK.sub(lambda m: f" {m[1]} {LINK} ", text)
     if "://" in text or DOMAIN.search(text):
         text = URL.sub(f" {LINK} ", text)
-    return text
+    return SPACED_OUT.sub(lambda m: m[0].replace(m[1], ""), text)
 
 
-def judge(run: list[Line]) -> str:
-    """Whether neighbouring lines without sentences are a list: listed, undecided or prose."""
+def is_list(run: list[Line]) -> tuple[bool, bool]:
+    """Whether neighbouring lines without sentences may be a list, and whether they are for certain."""
     links = sum(line.tokens.count(LINK) for line in run)
     goods = sum(line.kind == "goods" for line in run)
     if links >= 3 and 3 * links >= len(run) or goods >= 3 and goods >= 0.6 * len(run):
-        return "listed"
+        return True, True
     if repeats_itself(normal_words(t for line in run for t in line.tokens if t != LINK)):
-        return "listed"
+        return True, True
     short = sum(line.weight <= 7 for line in run)
-    return "undecided" if short >= 6 or any(line.kind == "items" for line in run) else "prose"
+    return short >= 6 or any(line.kind == "items" for line in run), False
 
 
-def examine(text: str | None) -> Evidence:
-    """The evidence within one text, however long. A null or blank text has no words."""
-    lines = [line for line in map(classify, prepare(text or "").splitlines()) if line.kind != "blank"]
-    verdict = ["listed" if line.kind == "list" else "prose" for line in lines]
+def list_lines(lines: list[Line], each: list[list[str]]) -> list[bool]:
+    """Which lines, of the given words, stand in lists."""
+    listed = [line.kind in ("list", "tags") for line in lines]
     runs: list[list[int]] = []
     for i, line in enumerate(lines):
         if line.kind in ("link", "items", "goods", "plain"):
-            if runs and (runs[-1][-1] == i - 1 or all(lines[k].kind == "list" for k in range(runs[-1][-1] + 1, i))):
+            if runs and all(listed[k] for k in range(runs[-1][-1] + 1, i)):
                 runs[-1].append(i)
             else:
                 runs.append([i])
-    # a list that a sentence interrupts is judged as a whole, if its pieces are lists in themselves
+    # a list that a sentence interrupts is judged as a whole, if its pieces are long enough
     pooled = [i for run in runs if len(run) >= 4 for i in run]
-    whole = judge([lines[i] for i in pooled]) if pooled else "prose"
+    whole = bool(pooled) and is_list([lines[i] for i in pooled])[1]
     for run in runs:
-        found = judge([lines[i] for i in run])
+        found = is_list([lines[i] for i in run])[0] or (len(run) >= 4 and whole)
         for i in run:
-            verdict[i] = whole if found != "listed" and len(run) >= 4 and whole == "listed" else found
-    each = [normal_words(line.tokens) for line in lines]
+            listed[i] = found
     for i in keyword_lines(lines, each):
-        verdict[i] = "listed"
-    words, doubtful = [], []
-    for own, found in zip(each, verdict):
-        words += own
-        doubtful += [found == "undecided"] * len(own)
-    sizes = {name: sum(line.weight for line, found in zip(lines, verdict) if found == name) for name in ("listed", "undecided")}
-    return Evidence(sum(line.weight for line in lines), sizes["listed"], sizes["undecided"], *phrase_hashes(words, doubtful))
-
-
-def phrase_hashes(words: list[str], doubtful: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each five consecutive words, and whether all five are doubtful."""
-    n = len(words) - PHRASE_WORDS + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, bool)
-    each = np.array(list(map(xxhash.xxh64_intdigest, words)), dtype=np.uint64)
-    total, all_in = np.zeros(n, np.uint64), np.ones(n, bool)
-    flags = np.array(doubtful)
+        listed[i] = True
+    return listed
+
+
+def phrase_words(tokens: Iterable[str]) -> list[str]:
+    """The words as they count in phrases: without marks in them, all numbers alike."""
+    return [w for w in (DIGITS.sub("0", MARKS.sub("", t)).casefold() for t in tokens) if w]
+
+
+def examine(text: str | None) -> Evidence:
+    """The evidence within one text, however long. A null or blank text has no words."""
+    lines = [line for line in map(classify, prepare(text or "").splitlines()) if line.kind != "blank"]
+    listed = list_lines(lines, [normal_words(line.tokens) for line in lines])
+    stretches: list[Stretch] = []
+    for line, found in zip(lines, listed):
+        words, single = phrase_words(line.tokens), found and line.kind == "tags"
+        if stretches and stretches[-1][:2] == (found, single) and found:
+            stretches[-1].words.extend(words)
+        else:
+            stretches.append(Stretch(found, single, words))
+    return Evidence(sum(line.weight for line in lines), sum(line.weight for line, found in zip(lines, listed) if found), stretches)
+
+
+def phrase_arrays(found: list[Evidence]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """For each text the 64-bit hashes of the different phrases of its lists, how often each comes,
+    and those of its prose. A phrase is PHRASE_WORDS consecutive words of a stretch, or one tag."""
+    stretches = [(i, s) for i, e in enumerate(found) for s in e.stretches if s.words]
+    each = np.array([xxhash.xxh64_intdigest(w) for _, s in stretches for w in s.words], dtype=np.uint64)
+    lengths = np.array([len(s.words) for _, s in stretches], dtype=np.int64)
+
+    def by_word(values: list, kind: type) -> np.ndarray:
+        return np.repeat(np.array(values, dtype=kind), lengths)
+
+    at = by_word(range(len(stretches)), np.int64)
+    n = max(0, len(each) - PHRASE_WORDS + 1)
+    hashed = np.zeros(n, np.uint64)
     for k in range(PHRASE_WORDS):
-        total = total * np.uint64(0x100000001B3) + each[k : k + n]
-        all_in &= flags[k : k + n]
-    return total.view(np.int64), all_in
+        hashed = hashed * np.uint64(0x100000001B3) + each[k : k + n]
+    owner, listed, single = (by_word(v, t) for v, t in (([i for i, _ in stretches], np.int64), ([s.listed for _, s in stretches], bool), ([s.single for _, s in stretches], bool)))
+    joined = np.flatnonzero((at[:n] == at[len(each) - n :]) & ~single[:n])
+    alone = np.flatnonzero(single)
+    hashed = np.concatenate((hashed[joined], each[alone])).view(np.int64)
+    place = np.concatenate((joined, alone))
+
+    def lists(of: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        pairs = np.empty(len(of), dtype=[("owner", np.int64), ("phrase", np.int64)])
+        pairs["owner"], pairs["phrase"] = owner[place[of]], hashed[of]
+        different, times = np.unique(pairs, return_counts=True)
+        ends = np.searchsorted(different["owner"], np.arange(len(found) + 1)).astype(np.int32)
+        return tuple(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values in (different["phrase"].copy(), times.astype(np.int32)))
+
+    in_lists = listed[place]
+    phrases, times = lists(np.flatnonzero(in_lists))
+    return phrases, times, lists(np.flatnonzero(~in_lists))[0]
 
 
 def evidence(documents: DataFrame, key: str = "doc_id", text: str = "text", host: str = "site") -> DataFrame:
-    """Columns doc_id, host, words, listed, undecided, n_phrases, n_doubtful and the page's
-    different phrases (phrase, times, doubtful) for every document."""
+    """One row per document: page (a number of its own), doc_id, host, words, listed, and its
+    different phrases in lists (phrase, times) and in prose."""
+    names = ["page", "doc_id", "host", "words", "listed", "phrase", "times", "prose"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 piece = batch.slice(start, 500)
                 found = [examine(t) for t in piece.column(2).to_pylist()]
-                different = [np.unique(e.phrases, return_inverse=True) for e in found]
-                times = [np.bincount(at, minlength=len(p)).astype(np.int32) for p, at in different]
-                doubtful = [np.bincount(at, weights=e.doubtful, minlength=len(p)).astype(np.int32) for e, (p, at) in zip(found, different)]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p, _ in different]))).astype(np.int32))
-                columns = [piece.column(0), piece.column(1), *(pa.array([e[i] for e in found], pa.int64()) for i in range(3))]
-                columns += [pa.array([len(e.phrases) for e in found], pa.int64()), pa.array([int(e.doubtful.sum()) for e in found], pa.int64())]
-                lists = ([p for p, _ in different], times, doubtful)
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "host", "words", "listed", "undecided", "n_phrases", "n_doubtful", "phrase", "times", "doubtful"])
+                numbers = pa.array(np.arange(page, page + piece.num_rows))
+                page += piece.num_rows
+                counts = (pa.array([e[i] for e in found], pa.int64()) for i in range(2))
+                yield pa.RecordBatch.from_arrays([numbers, piece.column(0), piece.column(1), *counts, *phrase_arrays(found)], names=names)
 
     chosen = spread(documents.select(documents[key].alias("doc_id"), documents[host].alias("host"), documents[text].alias("text")), "doc_id")
     kind = documents.schema[key].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, host string, words long, listed long, undecided long, n_phrases long, n_doubtful long, phrase array<long>, times array<int>, doubtful array<int>")
+    return chosen.mapInArrow(run, f"page long, doc_id {kind}, host string, words long, listed long, phrase array<long>, times array<int>, prose array<long>")
+
+
+def list_phrases(pages: DataFrame, min_hosts: int) -> DataFrame:
+    """Column shared: the phrases that lists of `min_hosts` hosts carry, and at least as many pages
+    in lists as in prose.
+
+    A page sends each of its phrases once. They are counted per phrase and host, prose without a
+    host, before and after the shuffle; so a phrase that a third of all pages carry stays small.
+    The second condition keeps its meaning in a corpus so large that any phrase is on many hosts.
+    """
+    host = F.when(F.col("host").isNotNull(), F.xxhash64("host"))
+    listed = pages.select(host.alias("h"), F.lit(1).alias("sign"), F.explode("phrase").alias("shared"))
+    prose = pages.select(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("sign"), F.explode("prose").alias("shared"))
+    counted = listed.unionByName(prose).groupBy("shared", "h").agg(F.sum("sign").alias("surplus"))
+    found = counted.groupBy("shared").agg(F.count("h").alias("hosts"), F.sum("surplus").alias("surplus"))
+    return found.where((F.col("hosts") >= min_hosts) & (F.col("surplus") >= 0)).select("shared")
 
 
 def stuffed_pages(documents: DataFrame, min_hosts: int = MIN_HOSTS, min_share: float = MIN_SHARE) -> DataFrame:
     """Columns doc_id, words, list_share, replicated_share, stuffed: one row per document.
 
-    replicated_share: phrases of the page that `min_hosts` hosts carry. stuffed: more than
-    `min_share` of the words stand in lists, counting the undecided ones only where more than
-    `min_share` of their phrases are replicated. Every phrase of every document is counted; a
-    page sends each of its phrases once, and a phrase is reduced to its different hosts before
-    and after the shuffle, so one that a third of all pages repeat stays small. Phrases and hosts
-    are compared by 64-bit hashes. A null host is no host. Texts without words are not stuffed.
+    list_share: words of the page that stand in lists. replicated_share: phrases of these lists, each
+    as often as it comes, that are replicated: lists of `min_hosts` hosts carry it, or it comes
+    MIN_TIMES times in the page's own. stuffed: both are above `min_share`. Whole texts are
+    read and every phrase of every document is counted. Phrases and hosts are compared by 64-bit
+    hashes. A null host is no host; rows with the same or a null doc_id are documents of
+    their own. Texts without words, or without lists, are not stuffed.
     """
     pages = materialize(evidence(documents))
-    own = pages.select("doc_id", F.xxhash64("host").alias("h"), F.col("host").isNotNull().alias("known"), F.explode(F.arrays_zip("phrase", "times", "doubtful")).alias("p"))
-    phrases = own.select("doc_id", "h", "known", F.col("p.phrase").alias("phrase"), F.col("p.times").alias("times"), F.col("p.doubtful").alias("doubtful"))
-    hosts = phrases.where("known").select("phrase", "h").distinct().groupBy(F.col("phrase").alias("shared")).agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= min_hosts)
-    on_hosts = phrases.select("doc_id", "phrase", "times", "doubtful").join(hosts.select("shared"), F.col("phrase") == F.col("shared"))
-    found = on_hosts.groupBy(F.col("doc_id").alias("f_doc")).agg(F.sum("times").alias("replicated"), F.sum("doubtful").alias("replicated_doubtful"))
-    joined = pages.select("doc_id", "words", "listed", "undecided", "n_phrases", "n_doubtful").join(found, F.col("doc_id") == F.col("f_doc"), "left")
-    confirmed = F.when((F.col("n_doubtful") > 0) & (F.coalesce("replicated_doubtful", F.lit(0)) > min_share * F.col("n_doubtful")), F.col("undecided")).otherwise(0)
-    listed = F.when(F.col("words") > 0, (F.col("listed") + confirmed) / F.col("words")).otherwise(0.0)
-    replicated = F.when(F.col("n_phrases") > 0, F.coalesce("replicated", F.lit(0)) / F.col("n_phrases")).otherwise(0.0)
-    return joined.select("doc_id", "words", listed.alias("list_share"), replicated.alias("replicated_share"), (listed > min_share).alias("stuffed"))
+    own = pages.select("page", F.explode(F.arrays_zip("phrase", "times")).alias("p")).select("page", "p.phrase", "p.times")
+    joined = own.join(list_phrases(pages, min_hosts), F.col("phrase") == F.col("shared"), "left")
+    replicated = F.when(F.col("shared").isNotNull() | (F.col("times") >= MIN_TIMES), F.col("times")).otherwise(0)
+    shares = joined.groupBy(F.col("page").alias("of_page")).agg((F.sum(replicated) / F.sum("times")).alias("share"))
+    found = pages.select("page", "doc_id", "words", "listed").join(shares, F.col("page") == F.col("of_page"), "left")
+    listed = F.when(F.col("words") > 0, F.col("listed") / F.col("words")).otherwise(0.0)
+    share = F.coalesce("share", F.lit(0.0))
+    return found.select("doc_id", "words", listed.alias("list_share"), share.alias("replicated_share"), ((listed > min_share) & (share > min_share)).alias("stuffed"))

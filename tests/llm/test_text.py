@@ -123,6 +123,8 @@ def test_empty_tables(spark):
 PROSE = "Before the release we looked at every session and found that most of them ended early, which surprised nobody. "
 KEYWORDS = ["cheap batch", "buy funnel", "top session", "free export", "best alert"]
 STUFFED = {
+    "keyword and site": "\n".join(f"{KEYWORDS[i % 5]} » velmor{i}.example" for i in range(12)),
+    "unspaced sentences": " ".join(f"{a} {b} Saint-Orve {i}." for i, (a, b) in enumerate(zip(["最安", "無料", "比較"] * 8, ["ダッシュボード", "検索条件"] * 12))),
     "soup": " ".join(random.Random(1).choices("cheap batch buy funnel top session".split(), k=80)),
     "lines": "\n".join(KEYWORDS * 6),
     "dots": " · ".join(KEYWORDS * 5),
@@ -166,15 +168,60 @@ def test_honest(name):
     assert e.listed <= 0.5 * e.words
 
 
-def test_an_undecided_list_counts_if_other_hosts_have_its_phrases(spark):
-    words = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefghijkl"]
+DOCUMENT = "doc_id long, text string, site string"
+
+
+def flagged(spark, data, **how):
+    df = spark.createDataFrame(data, DOCUMENT).withColumns({"words": F.lit("x"), "phrase": F.lit(1), "page": F.lit(2)})
+    return stuffed_pages.stuffed_pages(df, **how)
+
+
+def test_a_list_counts_if_other_hosts_have_its_phrases(spark):
+    words = [f"w{a}{b}".translate(str.maketrans("0123456789", "ghijklmnop")) for a in "abcdefgh" for b in "abcdefghijkl"]
     lonely, shared = "\n".join(" ".join(words[i : i + 5]) for i in range(0, 60, 5)), "\n".join(" ".join(words[i : i + 5]) for i in range(30, 95, 5))
-    data = [(1, lonely.replace("w", "q"), "h1"), (2, shared, "h1"), (3, shared, "h2"), (4, shared, "h3"), (5, None, None), (6, "", "h"), (7, PROSE * 3, None)]
-    df = spark.createDataFrame(data, "doc_id long, text string, site string").withColumn("words", F.lit("x"))
-    found = {r["doc_id"]: (r["stuffed"], r["replicated_share"]) for r in stuffed_pages.stuffed_pages(df).collect()}
-    assert {d for d, (s, _) in found.items() if s} == {2, 3, 4}
-    assert found[1][1] == 0.0 and found[2][1] == 1.0 and len(found) == 7
-    assert stuffed_pages.stuffed_pages(df.limit(0)).count() == 0
+    data = [(1, lonely.replace("w", "q"), "h1"), (2, shared, "h1"), (3, shared, "h2"), (4, shared, None), (5, None, None), (6, "", "h"), (7, PROSE * 3, None), (7, shared, ""), (None, shared, "h1"), (None, lonely.replace("w", "z"), "h4")]
+    rows = flagged(spark, data).collect()
+    assert sorted((r["doc_id"] for r in rows if r["stuffed"]), key=str) == [2, 3, 4, 7, None] and len(rows) == 10
+    found = {r["doc_id"]: r["replicated_share"] for r in rows}
+    assert found[1] == 0.0 and found[2] == 1.0
+    assert flagged(spark, data, min_hosts=10**9).where("stuffed").count() == 0
+    assert flagged(spark, data[:2]).where("stuffed").count() == 0  # no other host
+    assert flagged(spark, data).limit(0).count() == 0 and stuffed_pages.stuffed_pages(spark.createDataFrame([], DOCUMENT)).count() == 0
+
+
+def test_phrases_of_prose_are_no_evidence(spark):
+    """Lists whose phrases more pages have in prose are not stuffed, however many hosts share them."""
+    titles = ["the cohort is empty", "a funnel needs steps", "we export it daily", "people return each week", "charts load more slowly", "ask your admin first", "tables keep their order"]
+    menu, prose = "\n".join(titles), " ".join(f"As a rule, {t}, which we wrote down for our colleagues." for t in titles)
+    menus = [(i, menu, f"h{i}") for i in range(3)]
+    assert stuffed_pages.examine(menu).listed == stuffed_pages.examine(menu).words
+    assert flagged(spark, menus).where("stuffed").count() == 3
+    assert flagged(spark, menus + [(10 + i, prose, f"h{i}") for i in range(4)]).where("stuffed").count() == 0
+
+
+def test_planted_pages_are_found(spark):
+    """Of pages written in seven ways over shared keywords, on 40 hosts, all are found; nothing else."""
+    pick = random.Random(7)
+    nouns = ["alert", "data export", "cohort", "path report", "survey", "trend line"]
+
+    def pair():
+        return f"{pick.choice(MODIFIERS)} {pick.choice(nouns)}"
+
+    ways = [
+        lambda: " ".join(pair() for _ in range(30)),
+        lambda: " ".join(keyword_sentence(pick, pick.choice(nouns).capitalize()) for _ in range(12)),
+        lambda: PROSE + "\n" + "; ".join(pair() for _ in range(25)),
+        lambda: "\n".join(f"{pair()} » site{i}.test" for i in range(10)),
+        lambda: "\n".join(f"https://a{pick.randrange(99)}.test/{pick.randrange(999)}" for _ in range(12)),
+        lambda: " ".join("#" + pair().replace(" ", pick.choice(["", "_", "-"])) for _ in range(25)),
+        lambda: "\n".join(f"Vel{pick.choice('abcdefgh')}mor {pair()} X{pick.randrange(999)} {pick.randrange(99)}.99 EUR" for _ in range(12)),
+    ]
+    planted = [(i, ways[i % 7](), f"h{i % 40}") for i in range(210)]
+    honest = [(1000 + i, text, f"h{i % 40}") for i, text in enumerate([*HONEST.values(), *PUNCTUATED_PROSE.values()] * 8)]
+    found = {r["doc_id"] for r in flagged(spark, planted + honest).where("stuffed").collect()}
+    assert found == set(range(210))
+    by_page_alone = flagged(spark, planted + honest, min_hosts=10**9).where("stuffed").count()
+    assert by_page_alone < 160  # the hosts decide the others
 
 
 def keyword_sentence(pick, word):
