@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import remove
+from strandline.files import exists, names, read_text, remove, rename, write_text
 
 SMALL_BYTES = 32_768
 TARGET_BYTES = 128 << 20
@@ -149,27 +149,17 @@ def compact(rows: DataFrame, manifest: DataFrame, target: str, generation: int,
 
 def _commit(spark, staged: str, target: str, generation: int) -> None:
     """Move the staged folder to its place, then publish it by renaming one small file."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
     root = target.rstrip("/")
-    final, draft, published = f"{root}/generation-{generation}", f"{root}/_draft-{generation}.json", f"{root}/manifest-{generation:012d}.json"
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path(published)):
+    final, manifest = f"{root}/generation-{generation}", f"{root}/manifest-{generation:012d}.json"
+    if exists(spark, manifest):
         raise ValueError(f"generation {generation} is already published")
-    if not fs.rename(path(staged), path(final)):
-        raise OSError(f"could not move {staged} to {final}")
-    out = fs.create(path(draft), True)
-    out.write(bytearray(json.dumps({"generation": generation, "files": final}).encode()))
-    out.close()
-    if not fs.rename(path(draft), path(published)):
-        raise OSError(f"could not publish {published}")
+    rename(spark, staged, final)
+    write_text(spark, manifest, json.dumps({"generation": generation, "files": final}))
 
 
 def published(spark, target: str) -> Iterator[dict]:
     """The published generations below `target`, in order."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in sorted(fs.globStatus(path(f"{target.rstrip('/')}/manifest-*.json")) or [], key=lambda s: s.getPath().getName()):
-        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(status.getPath()), "UTF-8")
-        yield json.loads(text)
+    root = target.rstrip("/")
+    for name in names(spark, root):
+        if name.startswith("manifest-") and name.endswith(".json"):
+            yield json.loads(read_text(spark, f"{root}/{name}"))

@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.files import remove
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +24,10 @@ SETTINGS = {
 }
 
 
+#: Tables over scratch data that `bucketed` made in the session's catalog.
+TABLES: list[str] = []
+
+
 def build(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings this library is written for. `conf` keys use `_` for `.`."""
     builder = SparkSession.builder.appName("strandline")
@@ -33,12 +41,14 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 def scratch(spark: SparkSession) -> str:
     """A new path of this application in the folder that all executors share.
 
-    The cluster names that folder in `spark.checkpoint.dir`. Only where it is unset, as in
-    local tests, a folder of this machine is made and removed at exit. `clean` removes all paths
-    of the application.
+    The cluster names that folder in `spark.checkpoint.dir`. Only where it is unset and all
+    executors are on this machine, as in tests, a folder of this machine is made and removed at
+    exit. `clean` removes all paths of the application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="strandline-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -51,19 +61,16 @@ def _own(spark: SparkSession, root: str) -> str:
 
 
 def clean(spark: SparkSession) -> None:
-    """Remove this application's scratch data. No result that is still to be read may need it."""
+    """Remove this application's scratch data and the tables over it. No result that is still to be
+    read may need it."""
+    for name in TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    TABLES.clear()
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         remove(spark, _own(spark, root))
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system, if it is there."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -79,6 +86,32 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """The optimizer's estimate of the size; of what was just written, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bucketed(df: DataFrame, buckets: int, keys: list[str], *partition_by: str) -> DataFrame:
+    """`df` written to the shared folder in buckets of `keys`, and read back as such."""
+    spark = df.sparkSession
+    name = f"strandline_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.format("parquet").option("path", scratch(spark)).option("compression", "zstd").partitionBy(*partition_by).bucketBy(buckets, *keys).saveAsTable(name)
+    TABLES.append(name)
+    return spark.table(name)
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """`df` written down for as long as several results are taken from it, then removed."""
+    spark = df.sparkSession
+    path = scratch(spark)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` over all cores, by hash of the keys, if its scan has fewer parts than there are cores.
 

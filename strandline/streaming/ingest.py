@@ -1,110 +1,61 @@
-"""Streams of captured bodies into the lake, and panes that late events correct."""
+"""Streams of captured bodies into the lake."""
 
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandline.functions.times import HOUR, micros
-from strandline.operators import late_events
-from strandline.session import remove
 from strandline.sources import capture, lake
 
 LOG = logging.getLogger(__name__)
 BODY_SCHEMA = "body string, received_us long, sent_at_us long, user_agent string, ip string"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def body_stream(spark: SparkSession, path: str, files_a_batch: int = 1000, bytes_a_batch: int = 1 << 30) -> DataFrame:
+    """Captured bodies from JSON files as they arrive. A micro-batch takes at most so many files or
+    bytes, whichever is less: a backlog is worked off in batches of bounded size, and waits in the
+    folder, not in memory."""
+    return spark.readStream.schema(BODY_SCHEMA).option("maxFilesPerTrigger", files_a_batch).option("maxBytesPerTrigger", bytes_a_batch).json(path)
 
 
-def rename(spark: SparkSession, path: str, to: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(hadoop.Path(path), hadoop.Path(to)):
-        raise OSError(f"could not move {path} to {to}")
+def freshness(query: StreamingQuery, now_us: int) -> dict:
+    """How far a stream is behind: seconds since the newest micro-batch with rows began, its rows,
+    its seconds, and whether more rows come in than are worked off."""
+    last = next((p for p in reversed(query.recentProgress) if p.numInputRows), None)
+    if last is None:
+        return {"lag_s": None, "rows": 0, "batch_s": None, "falling_behind": False}
+    began = int(datetime.fromisoformat(last.timestamp.replace("Z", "+00:00")).timestamp() * 1e6)
+    arriving, done = last.inputRowsPerSecond or 0.0, last.processedRowsPerSecond or 0.0
+    return {"lag_s": max(0.0, (now_us - began) / 1e6), "rows": last.numInputRows, "batch_s": last.durationMs.get("triggerExecution", 0) / 1000, "falling_behind": arriving > done}
 
 
-def write_once(spark: SparkSession, target: str, write: Callable[[str], None]) -> bool:
-    """Run `write` on a draft and move it to `target`, unless that is there already: a batch that
-    is tried again after a failure leaves one copy."""
-    if exists(spark, target):
-        return False
-    draft = f"{target.rsplit('/', 1)[0]}/_draft-{target.rsplit('/', 1)[1]}"
-    remove(spark, draft)
-    write(draft)
-    rename(spark, draft, target)
-    return True
-
-
-def ingest(bodies: DataFrame, projects: DataFrame, root: str, checkpoint: str, salt: str | None = None, forward: Callable[[DataFrame, int], None] | None = None, **trigger: object) -> StreamingQuery:
-    """Start the stream: parse, resolve, enrich and publish each micro-batch below root/batch=N.
+def ingest(bodies: DataFrame, projects: DataFrame, root: str, checkpoint: str, salt: str | None = None, forward: Callable[[DataFrame, int], None] | None = None, now_us: Callable[[], int] = lambda: time.time_ns() // 1000, **trigger: object) -> StreamingQuery:
+    """Start the stream: parse, resolve, enrich and commit each micro-batch to the lake below `root`.
 
     `projects` (token, project_id) says where a token's events go; unknown tokens are dropped. Late
     events are written to their own day: there is no watermark, and nothing is dropped for its
-    age. A retried micro-batch is written once. `forward`: a further sink for the published
-    events; its failure doesn't stop the stream.
+    age. A retried micro-batch is committed once. `forward`: a further sink for the published
+    events, which it may leave out as it likes; its failure doesn't stop the stream.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         events = capture.enrich(capture.resolve(capture.parse(batch)), salt).join(projects, "token")
         events = events.select("project_id", *lake.EVENT_SCHEMA.names)
-        target = f"{root.rstrip('/')}/batch={number}"
-        fresh = write_once(spark, target, lambda draft: lake.publish(events, draft))
-        if fresh and forward is not None and exists(spark, target):
-            try:
-                forward(spark.read.parquet(target), number)
-            except Exception as e:  # noqa: BLE001
-                LOG.warning("batch %d was not forwarded: %s", number, e)
+        made = lake.commit(spark, root, events, None, now_us(), tag=f"batch-{number}")
+        if made and made % (2 * lake.KEPT_COMMITS) == 0:
+            lake.merge_commits(spark, root)
+        if not made or forward is None:
+            return
+        try:
+            forward(lake.read_lake(spark, root, lake.catalog(spark, root).where(F.col("created_generation") == made)).drop("relative_path"), number)
+        except Exception as e:  # noqa: BLE001
+            LOG.warning("batch %d was not forwarded: %s", number, e)
 
     return bodies.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(**(trigger or {"processingTime": "1 second"})).start()
-
-
-class PaneStore:
-    """Pane deltas and seen uuids per micro-batch, below one folder."""
-
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], pane_us: int = HOUR, lateness_us: int = 48 * HOUR) -> None:
-        self.spark, self.root, self.keys, self.pane_us, self.lateness_us = spark, root.rstrip("/"), keys, pane_us, lateness_us
-
-    def _read(self, kind: str) -> DataFrame | None:
-        path = f"{self.root}/{kind}"
-        return self.spark.read.option("basePath", path).parquet(f"{path}/batch=*") if exists(self.spark, path) else None
-
-    def add(self, batch: DataFrame, number: int) -> DataFrame | None:
-        """Take in a micro-batch (uuid, keys, at, arrived_us) and return the panes it changed.
-
-        A uuid that an earlier batch had is a retry and counts nothing. Taking the same batch in
-        again changes nothing and returns the same panes.
-        """
-        seen = self._read("seen")
-        once = batch.dropDuplicates(["uuid"])
-        new = once if seen is None else once.join(seen.where(F.col("batch") < number).select("uuid"), "uuid", "left_anti")
-        write_once(self.spark, f"{self.root}/deltas/batch={number}", lambda p: late_events.pane_deltas(new, self.keys, self.pane_us, self.lateness_us).write.parquet(p))
-        write_once(self.spark, f"{self.root}/seen/batch={number}", lambda p: new.select("uuid").write.parquet(p))
-        return self.spark.read.parquet(f"{self.root}/deltas/batch={number}")
-
-    def panes(self) -> DataFrame:
-        """All panes as they are now."""
-        return late_events.add_deltas(self._read("deltas").drop("batch"), keys=self.keys)
-
-    def windows(self, changed: DataFrame, window_us: int, slide_us: int) -> DataFrame:
-        """The windows over changed panes, composed anew."""
-        return late_events.recompose(self.panes(), changed, self.keys, window_us, slide_us, self.pane_us)
-
-
-def late_counts(events: DataFrame, root: str, checkpoint: str, emit: Callable[[DataFrame, int], None], keys: list[str], window_us: int = HOUR, slide_us: int = HOUR, lateness_us: int = 48 * HOUR, **trigger: object) -> StreamingQuery:
-    """Start a stream of corrected counts: after each micro-batch `emit` gets the windows whose
-    counts it changed, with their new values. Columns of `events`: uuid, keys, timestamp, arrived_us."""
-
-    def take(batch: DataFrame, number: int) -> None:
-        store = PaneStore(batch.sparkSession, root, keys, lateness_us=lateness_us)
-        changed = store.add(batch.withColumn("at", micros(batch, "timestamp")), number)
-        emit(store.windows(changed, window_us, slide_us), number)
-
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take).trigger(**(trigger or {"processingTime": "10 seconds"})).start()

@@ -7,11 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandline.functions.times import DAY, HOUR, MINUTE
+from strandline.files import names
 from strandline.operators import compaction, data_diff, feature_table, late_events, sessions
 from strandline.operators.unique_events import earliest
 from strandline.session import scratch
 from strandline.sources import lake
-from strandline.streaming.ingest import PaneStore, late_counts
+from strandline.streaming.panes import PaneStore, late_counts
 
 GAP = 30 * MINUTE
 
@@ -140,6 +141,36 @@ def test_batches_add_up_to_the_whole_and_a_repeated_batch_changes_nothing(spark,
     assert rows(again) == [r for r in rows(whole) if (r[0], r[1]) in touched]
 
 
+def test_a_retry_inside_a_batch_counts_at_its_earliest_time(spark, rows):
+    """As in the batch form: the earliest event and the first arrival, whatever order they come in."""
+    data = [("u", "p", 5 * HOUR, 9 * HOUR, "x"), ("u", "p", 2 * HOUR, 8 * HOUR, "x"), ("u", "p", 7 * HOUR, 3 * HOUR, "x"), ("v", "p", 1, None, "x"), (None, "p", 3, 4, "x")]
+    store = PaneStore(spark, scratch(spark), ["project_id"])
+    for given in (data, data[::-1]):
+        store = PaneStore(spark, scratch(spark), ["project_id"])
+        store.add(arrivals(spark, given), 0)
+        assert rows(store.panes()) == [("p", 0, 2, 0, 0), ("p", 2 * HOUR, 1, 0, 0)]
+
+
+def test_the_store_stays_bounded_and_forgets_old_uuids(spark, rows):
+    random.seed(4)
+    root = scratch(spark)
+    store = PaneStore(spark, root, ["project_id"], lateness_us=2 * HOUR, remember_us=10 * HOUR, fold_every=3)
+    data = [[(f"u{n}-{i}", "p", max(0, n - random.randrange(4)) * HOUR, n * HOUR + i, "x") for i in range(5)] for n in range(16)]
+    for n, batch in enumerate(data):
+        retry = data[n - 1][:2] if n else []
+        changed = store.add(arrivals(spark, batch + retry), n)
+        assert rows(store.add(arrivals(spark, batch + retry), n)) == rows(changed)  # tried again
+        assert len(names(spark, f"{root}/deltas")) <= 4 and len(names(spark, f"{root}/taken")) <= 15 and len(names(spark, f"{root}/folds")) <= 1
+    assert len(names(spark, f"{root}/taken")) < 16
+    whole = [r for batch in data for r in batch]
+    assert rows(store.panes()) == rows(late_events.pane_deltas(arrivals(spark, whole), ["project_id"], lateness_us=2 * HOUR))
+    again = store.windows(changed, 3 * HOUR, HOUR)
+    expected = {(r["project_id"], r["window_start"]): tuple(r) for r in late_events.compose(store.panes(), ["project_id"], 3 * HOUR, HOUR).collect()}
+    assert rows(again) and all(expected[r[:2]] == r for r in rows(again))
+    store.add(arrivals(spark, [data[0][0]]), 16)  # longer ago than it remembers: counts once more
+    assert sum(r["n_first"] + r["n_in_time"] + r["n_too_late"] for r in store.panes().collect()) == len(whole) + 1
+
+
 def test_stream_of_late_counts(spark, tmp_path):
     schema = "uuid string, project_id string, timestamp timestamp, arrived_us long"
     source, out = str(tmp_path / "in"), []
@@ -228,6 +259,16 @@ def test_features_of_entities_with_and_without_events(spark):
     assert found["lost"]["features"][""]["n"] == 1
 
 
+def test_null_and_empty_event_names_of_one_person_are_one_name(spark):
+    schema = "project_id string, distinct_id string, event string, session_id string, at long, amount double"
+    events = spark.createDataFrame([("p", "a", None, "s", 5, 1.0), ("p", "a", "", "s", 6, 2.0), ("p", "a", "x", None, 7, None)], schema)
+    ids = spark.createDataFrame([], "project_id string, distinct_id string, person_id string, seq long")
+    entities = spark.createDataFrame([("p", "a")], "project_id string, person_id string")
+    found = feature_table.feature_table(entities, feature_table.activity(events, ids)).first()
+    assert {k: tuple(v) for k, v in found["features"].items()} == {"": (2, 6, 3.0), "x": (1, 7, None)}
+    assert found["event_count"] == 3 and found["session_count"] == 2
+
+
 def test_stale_stats(spark, rows):
     schema = "project_id string, person_id string, event_count long, first_seen long, last_seen long, session_count long"
     a = spark.createDataFrame([("p", "same", 1, 2, 3, 1), ("p", "new", 0, None, None, 0), ("p", "wrong", 1, 2, 3, 1)], schema)
@@ -241,8 +282,8 @@ def test_stale_stats(spark, rows):
 def test_publication_and_reading_back(spark, tmp_path):
     base = ("e", "d", "{}") + (None,) * 14
     data = [(u, base[0], base[1], t, *base[2:], "p") for u, t in (("1", 0), ("1", 5), ("2", DAY), ("3", 2 * DAY))]
-    names = [f.name for f in lake.EVENT_SCHEMA]
-    schema = ", ".join(f"{n} {'long' if n == 'timestamp' else 'string'}" for n in names) + ", project_id string"
+    columns = [f.name for f in lake.EVENT_SCHEMA]
+    schema = ", ".join(f"{n} {'long' if n == 'timestamp' else 'string'}" for n in columns) + ", project_id string"
     events = spark.createDataFrame([tuple(d) for d in data], schema).withColumn("timestamp", F.timestamp_micros("timestamp"))
     root = str(tmp_path / "lake")
     lake.publish(events, root)
@@ -256,6 +297,60 @@ def test_publication_and_reading_back(spark, tmp_path):
     assert lake.read(spark, lake.Snapshot((), "0")).count() == 0
 
 
+def lake_events(spark, rows):
+    """Events (uuid, distinct_id, event, us, project) in the lake's schema."""
+    base = spark.createDataFrame([(u, e, d, us, "{}", p) for u, d, e, us, p in rows], "uuid string, event string, distinct_id string, us long, properties string, project_id string")
+    missing = {f.name: F.lit(None).cast("string") for f in lake.EVENT_SCHEMA if f.name not in base.columns and f.name != "timestamp"}
+    return base.withColumn("timestamp", F.timestamp_micros("us")).withColumns(missing).select("project_id", *lake.EVENT_SCHEMA.names)
+
+
+def test_a_lake_is_changed_one_commit_at_a_time(spark, rows, tmp_path):
+    root = str(tmp_path / "lake")
+    assert lake.catalog(spark, root).count() == 0 and lake.generation(spark, root) == 0
+    live = lambda: lake.catalog(spark, root).where("retired_generation IS NULL")
+    held = lambda: sorted((r["uuid"], r["project_id"], r["day"]) for r in lake.read_lake(spark, root, live()).collect())
+    first = lake_events(spark, [("1", "a", "x", 0, "p"), ("1", "a", "x", 5, "p"), ("2", "b", "x", DAY, "p"), ("3", "a", "y", 1, "q: %1+")])
+    assert lake.commit(spark, root, first, None, 0, tag="batch-0") == 1
+    assert lake.commit(spark, root, first, None, 0, tag="batch-0") == 0  # tried again
+    assert lake.commit(spark, root, lake_events(spark, [("1", "a", "x", 0, "p"), ("4", "b", "y", 7, "p")]), None, 0, tag="batch-1") == 2
+    assert lake.commit(spark, root, first.limit(0), None, 0, tag="batch-2") == 3
+    assert held() == [("1", "p", "1970-01-01"), ("1", "p", "1970-01-01"), ("2", "p", "1970-01-02"), ("3", "q: %1+", "1970-01-01"), ("4", "p", "1970-01-01")]
+    found = lake.read(spark, lake.catalog_snapshot(lake.catalog(spark, root), root, "p", "1970-01-01", "1970-01-02"))
+    assert sorted(r["uuid"] for r in found.collect()) == ["1", "1", "4"]
+    assert {(r["rows"], r["level"]) for r in live().collect()} == {(1, 0), (2, 0)} and live().where("bytes > 0").count() == live().count() == 4
+    with lake.hold(spark, root):
+        assert lake.compact(spark, root, 0) == 2  # the day with two small files
+        assert held() == [("1", "p", "1970-01-01"), ("2", "p", "1970-01-02"), ("3", "q: %1+", "1970-01-01"), ("4", "p", "1970-01-01")]
+        assert lake.vacuum(spark, root) == 0  # held
+        assert sorted(r["uuid"] for r in found.collect()) == ["1", "1", "4"]
+    assert lake.vacuum(spark, root) == 2
+    before = {r["relative_path"] for r in live().where("day = '1970-01-02'").collect()}
+    gone = spark.createDataFrame([("p", "a"), ("q: %1+", "nobody")], "project_id string, distinct_id string")
+    assert lake.erase(spark, root, gone, 0) == 1 and lake.erase(spark, root, gone, 0) == 0
+    assert held() == [("2", "p", "1970-01-02"), ("3", "q: %1+", "1970-01-01"), ("4", "p", "1970-01-01")]
+    assert before <= {r["relative_path"] for r in live().collect()}  # untouched
+    assert lake.retire(spark, root, "1970-01-02", 0, 0) == 2 and held() == [("2", "p", "1970-01-02")]
+    number = lake.generation(spark, root)
+    for i in range(12):
+        lake.commit(spark, root, lake_events(spark, [(f"n{i}", "c", "x", 2 * DAY, "p")]), None, 0)
+    lake.merge_commits(spark, root)
+    assert lake.generation(spark, root) == number + 12 and len(held()) == 13
+    assert len(names(spark, f"{root}/catalog")) == lake.KEPT_COMMITS + 1
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
+    rows_ = [(f"{i:05d}", "a", f"e{i % 7}", i, "hot") for i in range(4000)] + [(f"c{i}", "a", "e", i * DAY, "cold") for i in range(5)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if each part were large
+    try:
+        lake.publish(lake_events(spark, rows_), str(tmp_path / "lake"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    read = spark.read.parquet(str(tmp_path / "lake"))
+    spans = read.where("project_id = 'hot'").groupBy("_metadata.file_path").agg(F.min("event").alias("lo"), F.max("event").alias("hi"), F.count("*").alias("n")).orderBy("lo", "hi").collect()
+    assert len(spans) > 1 and max(s["n"] for s in spans) < 4000 and read.count() == 4005
+    assert all(a["hi"] <= b["lo"] for a, b in zip(spans, spans[1:]))
+
+
 def test_scratch_data_is_written_in_the_shared_folder_and_can_be_cleaned(spark, rows):
     from pathlib import Path
 
