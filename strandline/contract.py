@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
+
 # Names and limits of the query contract.
 MATHS = ("total", "dau", "weekly_active", "monthly_active", "unique_session", "sum", "avg", "min", "max", "median", "p90", "p95", "p99")
 PROPERTY_MATHS = MATHS[5:]
@@ -91,6 +94,18 @@ def _demand(ok: bool, message: str) -> None:
         raise InvalidQuery(message)
 
 
+def check_pattern(text: str) -> None:
+    """A regular expression is compiled as it will be run: by Java, on the driver. Without a session
+    there is nothing to run it."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return
+    try:
+        context._jvm.java.util.regex.Pattern.compile(text)
+    except (Py4JJavaError, PySparkException) as e:
+        raise InvalidQuery(f"invalid pattern: {e}".split("\n", 1)[0]) from None
+
+
 def check_filters(filters: tuple[Filter, ...]) -> None:
     _demand(len(filters) <= MAX_FILTERS, f"at most {MAX_FILTERS} filters")
     for f in filters:
@@ -109,10 +124,7 @@ def check_filters(filters: tuple[Filter, ...]) -> None:
             except (TypeError, ValueError):
                 raise InvalidQuery(f"{f.op} needs a number") from None
         if f.op in ("regex", "not_regex"):
-            try:
-                re.compile(str(values[0]))
-            except re.error as e:
-                raise InvalidQuery(f"invalid pattern: {e}") from None
+            check_pattern(str(values[0]))
 
 
 def check_series(series: list[Series]) -> None:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.contract import OPERATORS, InvalidQuery
+from strandline.contract import OPERATORS, InvalidQuery, check_pattern
 from strandline.functions import dates, properties
 
 # The scale of the hash, the reasons, and the limits of a definition.
@@ -125,10 +125,10 @@ def property_condition(rule: dict, members: Column, now: int) -> Column:
         holds = holds if op == "icontains" else ~holds
     elif op in ("regex", "not_regex"):
         try:
-            re.compile(_text(expected))
+            check_pattern(_text(expected))
             holds = actual.rlike(_text(expected))
             holds = holds if op == "regex" else ~holds
-        except re.error:
+        except InvalidQuery:
             holds = F.lit(False)
     elif op in ("gt", "gte", "lt", "lte"):
         holds = _compare(op, expected, actual)

@@ -142,7 +142,8 @@ def actors(source: Source, series: Series, period: Period, at: int | None, filte
     """person_id of everyone behind one point: a bucket start, or the whole period if None.
 
     Trailing maths look at the window up to the bucket's end, clipped to the period's end; session
-    counts need a session, property maths a number.
+    counts need a session, property maths a number. `shown`: a breakdown value as the chart shows it,
+    '$$_other' for everyone outside the values of the whole period it shows.
     """
     check_series([series])
     n_days = TRAILING_DAYS.get(series.math)
@@ -157,8 +158,9 @@ def actors(source: Source, series: Series, period: Period, at: int | None, filte
         events = events.where(F.col("session_id").isNotNull())
     if series.prop is not None:
         events = events.where(properties.number(properties.text(series.prop)).isNotNull())
-    if shown is not None:
-        events = events.where(F.col("breakdown") == shown)
+    if shown is not None and breakdown is not None:
+        top, _ = top_values(matching(source, series, filters, period.start, period.end, breakdown), breakdown.limit)
+        events = events.where(fold(F.col("breakdown"), top) == shown)
     return events.select("person_id").distinct()
 
 

@@ -15,6 +15,7 @@ from strandline.contract import Breakdown, Exclusion, Filter, Funnel, InvalidQue
 from strandline.functions import dates
 from strandline.operators import funnels, paths, retention, sql_tab, trends
 from strandline.operators.relation import Source, earliest_event
+from strandline.session import stored
 
 TTL_S = 30.0
 
@@ -85,6 +86,10 @@ def _funnel(raw: dict) -> Funnel:
     return Funnel(tuple(series(s) for s in raw["steps"]), int(raw.get("window_s", 14 * 86_400)) * 1_000_000, raw.get("order", "ordered"), exclusions, filters(raw.get("properties")), breakdown(raw.get("breakdown")))
 
 
+def _paths(raw: dict) -> Paths:
+    return Paths(tuple(raw.get("path_types", ["pageview"])), raw.get("start_point"), raw.get("end_point"), raw.get("step_limit", 5), raw.get("edge_limit", 50), filters(raw.get("properties")))
+
+
 def compute(raw: dict, source: Source, now: int) -> object:
     """The result of a request of any kind, as nested values."""
     kind = raw.get("kind")
@@ -104,23 +109,19 @@ def compute(raw: dict, source: Source, now: int) -> object:
         return _lines(found, at, names)
     if kind == "FunnelsQuery":
         asked = _funnel(raw)
-        found = funnels.outcomes(source, asked, at).cache()
-        try:
+        with stored(funnels.outcomes(source, asked, at)) as found:
             out = {"steps": [r.asDict() for r in funnels.steps(found, len(asked.steps)).orderBy("step").collect()], "time_to_convert": [r.asDict() for r in funnels.time_to_convert(found, len(asked.steps)).orderBy("from_s").collect()]}
             if asked.breakdown:
                 shown = funnels.with_shown(found, asked.breakdown.limit)
                 out["breakdowns"] = [r.asDict() for r in funnels.steps(shown, len(asked.steps), True).orderBy("breakdown", "step").collect()]
             return out
-        finally:
-            found.unpersist()
     if kind == "LifecycleQuery":
         return [r.asDict() for r in retention.lifecycle(source, series(raw["series"]), at).orderBy("bucket", "status").collect()]
     if kind == "StickinessQuery":
         rows = retention.stickiness(source, [series(s) for s in raw["series"]], at).orderBy("series", "n_buckets").collect()
         return [{"label": f"{r['n_buckets']} {at.interval}{'s' if r['n_buckets'] > 1 else ''}"} | r.asDict() for r in rows]
     if kind == "PathsQuery":
-        asked = Paths(tuple(raw.get("path_types", ["pageview"])), raw.get("start_point"), raw.get("end_point"), raw.get("step_limit", 5), raw.get("edge_limit", 50), filters(raw.get("properties")))
-        return [r.asDict() for r in paths.links(source, asked, at).collect()]
+        return [r.asDict() for r in paths.links(source, _paths(raw), at).collect()]
     raise InvalidQuery(f"unknown kind {kind!r}")
 
 
@@ -148,8 +149,7 @@ def actors(raw: dict, selection: dict, source: Source, now: int, limit: int = 10
             counted = retention.active_buckets(source, series(raw["series"][selection.get("series", 0)]), at)
             found = counted.where(counted["n"] == selection["n_buckets"])
         else:
-            asked = Paths(tuple(raw.get("path_types", ["pageview"])), raw.get("start_point"), raw.get("end_point"), raw.get("step_limit", 5))
-            found = paths.actors(source, asked, at, selection["source"], selection["target"])
+            found = paths.actors(source, _paths(raw), at, selection["source"], selection["target"])
     return [r[0] for r in found.select("person_id").distinct().orderBy("person_id").offset(offset).limit(limit).collect()]
 
 
@@ -160,11 +160,25 @@ def reads_persons(raw: object) -> bool:
     return isinstance(raw, list) and any(map(reads_persons, raw))
 
 
+def moment(raw: dict, now: int) -> tuple:
+    """What of `now` a request's result depends on: the ends of its period, or the moment itself
+    where a statement asks for it. A period since the first event is fixed by the files."""
+    kind = raw.get("kind")
+    if kind == "SqlQuery":
+        return (now,) if sql_tab.uses_now(raw.get("query", "")) else ()
+    if kind == "RetentionQuery":
+        return (dates.trunc(now, raw.get("period", "day")),)
+    span = raw.get("date_range") or {}
+    at = dates.resolve(span.get("date_from"), span.get("date_to"), raw.get("interval", "day"), now, 0 if span.get("date_from") == "all" else None)
+    return at.start, at.end
+
+
 def run(raw: dict, source: Source, now: int, project: str = "", data_version: str = "", identity_version: str = "", cache: Cache | None = None, deadline_s: float = 30.0) -> dict:
     """The result with its metadata. Jobs that outlast the deadline are cancelled; a result is
-    taken from the cache while files and identities are the same."""
+    taken from the cache while files, identities and what it depends on of `now` are the same."""
     began = time.monotonic()
-    key = hashlib.sha256(repr((project, sorted(raw.items(), key=str), data_version, identity_version, now if raw.get("kind") != "SqlQuery" else "")).encode()).hexdigest()
+    at = moment(raw, now)
+    key = hashlib.sha256(repr((project, sorted(raw.items(), key=str), data_version, identity_version, at)).encode()).hexdigest()
     result, cached = (cache.get(key, began) if cache else None), True
     if result is None:
         cached = False
@@ -184,4 +198,8 @@ def run(raw: dict, source: Source, now: int, project: str = "", data_version: st
             context.setLocalProperty("spark.jobGroup.id", None)
         if cache:
             cache.put(key, result, reads_persons(raw), began)
-    return {"result": result, "meta": {"kind": raw.get("kind"), "elapsed_ms": round(1000 * (time.monotonic() - began)), "cached": cached, "data_version": data_version, "timezone": "UTC"}}
+    meta = {"kind": raw.get("kind"), "elapsed_ms": round(1000 * (time.monotonic() - began)), "cached": cached, "data_version": data_version, "timezone": "UTC"}
+    if len(at) == 2:
+        begins, ends = (dates.to_datetime(t).isoformat() for t in at)
+        meta |= {"date_from": None if (raw.get("date_range") or {}).get("date_from") == "all" else begins, "date_to": ends}
+    return {"result": result, "meta": meta}

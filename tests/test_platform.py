@@ -8,11 +8,12 @@ from urllib.parse import quote
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.contract import InvalidQuery
+from strandline.contract import InvalidQuery, check_pattern
 from strandline.functions.times import DAY
 from strandline.operators import flags, identity, sql_tab
 from strandline.plans import engine
-from strandline.sources import capture, demo
+from strandline.sources import capture, demo, lake
+from strandline.sources.lake import by_day
 from strandline.streaming.ingest import BODY_SCHEMA, ingest
 from tests.test_insights import make, us
 
@@ -245,10 +246,13 @@ def test_stream_of_bodies_is_published_once(spark, tmp_path):
     for batch in ([e(1), e(1), e(2)], [e(3), e(4, token="unknown"), e(5, timestamp="2020-01-01T00:00:00Z")]):
         bodies(spark, {"batch": batch}).coalesce(1).write.mode("append").json(source)
         ingest(spark.readStream.schema(BODY_SCHEMA).json(source), projects, root, str(tmp_path / "cp"), forward=lambda df, n: forwarded.append(df.count()), availableNow=True).awaitTermination()
-    found = spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+    files = lake.catalog(spark, root)
+    snapshots = [lake.catalog_snapshot(files, root, "p", *days) for days in (("2000-01-01", "2100-01-01"), ("2026-03-10", "2026-03-11"))]
+    found, one_day = (by_day(lake.read(spark, s)) for s in snapshots)
+    assert one_day.count() == 3
     assert sorted(r["uuid"][-1] for r in found.collect()) == ["1", "2", "3", "5"]
     assert sum(forwarded) == found.count()
-    assert {str(r["day"]) for r in found.select("day").distinct().collect()} == {"2026-03-10", "2020-01-01"}
+    assert {r["day"] for r in found.select("day").distinct().collect()} == {"2026-03-10", "2020-01-01"}
 
 
 # ---- ad-hoc SQL
@@ -262,6 +266,46 @@ def test_only_a_select_over_the_events(spark):
             sql_tab.query(source, bad, NOW)
 
 
+def test_no_name_but_events_and_those_of_a_with_can_be_read(spark, tmp_path):
+    """However a statement dresses it up: in texts, comments, names out of their scope, subqueries."""
+    source = make(spark, [("x", "a", 0), ("y", "b", 5)], [("a", "A")])
+    path = str(tmp_path / "p.parquet")
+    spark.range(3).write.parquet(path)
+    spark.range(3).createOrReplaceTempView("secret")
+    spark.range(3).write.format("parquet").option("path", str(tmp_path / "t")).saveAsTable("secret_table")
+    try:
+        for bad in (
+            f"SELECT count(*) FROM parquet.`{path}` WHERE 'parquet, {path} as (' <> ''",
+            f"SELECT * FROM parquet.`{path}` /* parquet as ( */",
+            "SELECT 'secret as (' x, id FROM secret -- secret as (",
+            "SELECT * FROM secret_table",
+            "SELECT * FROM default.secret_table",
+            "SELECT * FROM secret UNION ALL SELECT * FROM (WITH secret AS (SELECT 1 id) SELECT * FROM secret)",
+            "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+            "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 id) SELECT * FROM a",
+            "SELECT (SELECT max(id) FROM secret) m FROM events",
+            "SELECT event FROM events WHERE 1 IN (WITH q AS (SELECT id FROM secret) SELECT id FROM q)",
+            "SELECT event FROM events WHERE EXISTS (SELECT 1 FROM secret)",
+            "SELECT * FROM events, LATERAL (SELECT * FROM secret) l",
+            "SELECT * FROM events |> JOIN secret",
+            "SELECT * FROM IDENTIFIER('secret')",
+            "TABLE secret",
+            "SELECT transform(array(1), x -> reflect('a', 'b')) FROM events",
+            "SELECT system.builtin.java_method('a', 'b')",
+            "SELECT CURRENT_USER",
+            "SELECT * FROM sql_keywords()",
+            "SELECT TRANSFORM(event) USING 'cat' AS (a) FROM events",
+        ):
+            with pytest.raises(InvalidQuery):
+                sql_tab.query(source, bad, NOW)
+    finally:
+        spark.sql("DROP TABLE secret_table")
+        spark.catalog.dropTempView("secret")
+    good = "WITH secret AS (SELECT event, 'parquet.`/x`' p FROM events e WHERE EXISTS (SELECT 1 FROM events f WHERE f.event = e.event)), t AS (SELECT * FROM secret) SELECT count(*), 'now_utc()', max(now_utc()) FROM t JOIN range(1)"
+    found = sql_tab.query(source, good, NOW).first()
+    assert tuple(found)[:2] == (2, "now_utc()") and found[2].timestamp() * 1e6 == NOW
+
+
 def test_cells(spark):
     df = spark.sql("SELECT 1.5BD d, double('NaN') n, timestamp'2026-01-01 00:00:00' t, X'0aff' b, array(1,2) a, named_struct('x', 1) s, map('k', 2) m, date'2026-01-01' e, repeat('é', 40000) l")
     out = sql_tab.fetch(df)["rows"][0]
@@ -294,6 +338,47 @@ def test_every_kind_of_request_and_its_actors(spark):
         engine.actors({"kind": "TrendsQuery"}, {"kind": "PathsLink"}, source, NOW)
 
 
+def test_the_people_of_a_chart_are_those_it_counts(spark):
+    """Also those of all other breakdown values, and of links of filtered paths."""
+    k = lambda v, **m: {"properties": json.dumps({"k": v})} | m
+    data = [("A", f"u{i}", "2026-03-10", k(v)) for i, v in enumerate(["x", "x", "y", "y", "z", "w"])] + [("A", "u6", "2026-03-11"), ("A", "u7", "2026-03-01", k("old"))]
+    walks = [("$pageview", p, t, k(v, pathname=n)) for p, v in (("u0", "x"), ("u1", "y")) for n, t in (("/a", "2026-03-12"), ("/b", "2026-03-13"))]
+    source = make(spark, data + walks)
+    ask = {"kind": "TrendsQuery", "series": [{"event": "A", "math": "dau"}], "breakdown": {"property": "k", "limit": 2}}
+    lines = engine.run(ask, source, NOW)["result"]
+    assert {r["breakdown"]: r["aggregated_value"] for r in lines} == {"x": 2, "y": 2, "$$_other": 3}
+    for r in lines:
+        people = engine.actors(ask, {"kind": "TrendsPoint", "breakdown": r["breakdown"]}, source, NOW)
+        assert len(people) == r["aggregated_value"], r["breakdown"]
+    assert engine.actors(ask, {"kind": "TrendsPoint", "breakdown": "$$_other"}, source, NOW) == ["u4", "u5", "u6"]
+    assert engine.actors(ask, {"kind": "TrendsPoint", "breakdown": "z"}, source, NOW) == []
+    for value, expected in (("x", ["u0"]), ("nobody", [])):
+        paths = {"kind": "PathsQuery", "properties": [{"key": "k", "value": value}]}
+        links = engine.run(paths, source, NOW)["result"]
+        assert [r["persons"] for r in links] == [1] * len(expected)
+        assert engine.actors(paths, {"kind": "PathsLink", "source": "1_/a", "target": "2_/b"}, source, NOW) == expected
+
+
+def test_the_cache_depends_on_the_period_and_on_now_only_where_it_is_used(spark):
+    source, cache = make(spark, [("A", "u", "2026-03-10")]), engine.Cache()
+    cached = lambda ask, now: engine.run(ask, source, now, "p", "1", cache=cache)["meta"]["cached"]
+    trend, retention = {"kind": "TrendsQuery", "series": [{"event": "A"}]}, {"kind": "RetentionQuery", "target": {"event": "A"}, "returning": {"event": "A"}}
+    for ask in (trend, retention):
+        assert [cached(ask, NOW), cached(ask, NOW + 60_000_000), cached(ask, NOW + DAY)] == [False, True, False]
+    plain, timed = ({"kind": "SqlQuery", "query": q} for q in ("SELECT count(*), 'now_utc()' FROM events", "SELECT max(now_utc()) FROM events"))
+    assert [cached(plain, NOW), cached(plain, NOW + DAY), cached(timed, NOW), cached(timed, NOW + 1)] == [False, True, False, False]
+    meta = engine.run(trend, source, NOW)["meta"]
+    assert (meta["date_from"][:10], meta["date_to"][:10]) == ("2026-03-08", "2026-03-16")
+
+
+def test_patterns_are_those_that_will_run(spark):
+    for good in ("a{1,2}+", r"\p{Alpha}+", "(?<a>C)"):
+        check_pattern(good)
+    for bad in ("(?P<a>C)", "(", "a**"):
+        with pytest.raises(InvalidQuery):
+            check_pattern(bad)
+
+
 def test_results_are_cached_while_files_and_identities_are_the_same(spark):
     source, cache = make(spark, [("A", "u", "2026-03-10")]), engine.Cache(2)
     ask = lambda version: engine.run({"kind": "TrendsQuery", "series": [{"event": "A"}]}, source, NOW, "p", version, cache=cache)["meta"]["cached"]
