@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,24 +27,26 @@ def diff_copies(left: DataFrame, right: DataFrame, key: str, fields: list[str],
     a null key is matched with a null key. Null differs from any value. Of rows that both sides
     hold in unequal numbers the surplus copies count as one-sided. Empty tables give every key of
     the other side, or nothing.
+
+    The full join of the two residues by key is one aggregation by key of both, told apart by the
+    sign of their surplus: the residues come from one pass and are not split into two inputs first.
     """
     columns = [F.col(key).alias("key"), *(F.col(f).alias(f"f{i}") for i, f in enumerate(fields))]
     rest = residues(left.select(*columns), right.select(*columns))
     values = F.struct(*(f"f{i}" for i in range(len(fields))))
 
-    def side(sign: int, tag: str) -> DataFrame:
-        own = rest.where(F.col("surplus") * sign > 0)
-        return own.groupBy(F.col("key").alias(f"{tag}_key")).agg(F.min(values).alias(tag), F.sum(F.col("surplus") * sign).alias(f"{tag}_copies"))
+    def side(sign: int, tag: str) -> list[Column]:
+        own = F.col("surplus") * sign > 0
+        return [F.min(F.when(own, values)).alias(tag), F.sum(F.when(own, F.col("surplus") * sign)).alias(f"{tag}_copies")]
 
-    a, b = side(1, "left"), side(-1, "right")
-    joined = a.join(b, F.col("left_key").eqNullSafe(F.col("right_key")), "full_outer")
+    joined = rest.groupBy("key").agg(*side(1, "left"), *side(-1, "right"))
     one_sided = [
         F.when(F.col("right_copies").isNull(), F.lit(left_only)),
         F.when(F.col("left_copies").isNull(), F.lit(right_only)),
     ]
     differing = [F.when(F.col("left_copies").isNotNull() & F.col("right_copies").isNotNull() & ~F.col("left")[f"f{i}"].eqNullSafe(F.col("right")[f"f{i}"]), F.lit(f)) for i, f in enumerate(fields)]
     return joined.select(
-        F.when(F.col("left_copies").isNotNull(), F.col("left_key")).otherwise(F.col("right_key")).alias(key),
+        F.col("key").alias(key),
         F.explode(F.array_compact(F.array(*one_sided, *differing))).alias("field"),
         F.coalesce("left_copies", F.lit(0)).alias("left_copies"),
         F.coalesce("right_copies", F.lit(0)).alias("right_copies"),
