@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +9,12 @@ from pyspark.sql import functions as F
 
 from strandline.functions.times import MINUTE, floor_to
 from strandline.operators.sessions import run_count
-from strandline.session import scratch
+from strandline.session import bucketed, bytes_of, materialize
 
 KEYS = ["project_id", "person_id"]
+#: Bytes of activity, as written, that one bucket of entities holds on average, unless that asks
+#: for more buckets than a table may have.
+BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 100_000
 
 
 def strict_number(text: Column) -> Column:
@@ -42,14 +44,6 @@ def activity(events: DataFrame, distinct_ids: DataFrame, gap_us: int = 30 * MINU
     return joined.withColumn("person_id", F.coalesce("person_id", "distinct_id")).drop("o_project", "o_id")
 
 
-def bucketed(df: DataFrame, buckets: int, *partition_by: str) -> DataFrame:
-    """`df` written to the shared folder in buckets of the entity keys, and read back as such."""
-    spark = df.sparkSession
-    name = f"strandline_{uuid.uuid4().hex}"
-    df.repartition(buckets, *KEYS).write.format("parquet").option("path", scratch(spark)).option("compression", "zstd").partitionBy(*partition_by).bucketBy(buckets, *KEYS).saveAsTable(name)
-    return spark.table(name)
-
-
 def feature_blocks(cells: DataFrame, n_blocks: int, buckets: int) -> list[DataFrame]:
     """One DataFrame per block of event types: keys, n_<b>, first_<b>, last_<b> and types_<b>, a
     map from event name to (n, last_at, amount).
@@ -58,10 +52,10 @@ def feature_blocks(cells: DataFrame, n_blocks: int, buckets: int) -> list[DataFr
     many there are. The (entity, event) totals are written once, partitioned by block and bucketed
     by entity; each block then reads its own part and is aggregated without a shuffle.
     """
-    totals = cells.groupBy(*KEYS, "event").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("amount").alias("amount"))
+    totals = cells.groupBy(*KEYS, F.coalesce("event", F.lit("")).alias("event")).agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("amount").alias("amount"))
     block = F.pmod(F.xxhash64("event"), F.lit(n_blocks)).cast("int")
-    stored = bucketed(totals.withColumn("block", block), buckets, "block")
-    entry = F.struct(F.coalesce("event", F.lit("")), F.struct("n", "last_at", "amount"))
+    stored = bucketed(totals.withColumn("block", block), buckets, KEYS, "block")
+    entry = F.struct("event", F.struct("n", "last_at", "amount"))
     return [
         stored.where(F.col("block") == b)
         .groupBy(*KEYS)
@@ -72,22 +66,26 @@ def feature_blocks(cells: DataFrame, n_blocks: int, buckets: int) -> list[DataFr
 
 def session_block(cells: DataFrame) -> DataFrame:
     """keys, session_count: different session_ids, plus the runs of events without one."""
-    with_id = cells.where(F.col("session_id").isNotNull()).select(*KEYS, "session_id").distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("count"))
+    with_id = cells.where(F.col("session_id").isNotNull()).select(*KEYS, "session_id").distinct().select(*KEYS, F.lit(1).cast("long").alias("count"))
     slots = cells.where(F.col("session_id").isNull() & F.col("slot").isNotNull()).groupBy(*KEYS, "slot").agg(F.min("first_at").alias("slot_start"), F.max("last_at").alias("slot_end"))
     runs = run_count(slots, KEYS).select(*KEYS, F.col("runs").alias("count"))
+    # of each id with a session one row is left by now, and is added up before it is moved
     return with_id.unionByName(runs).groupBy(*KEYS).agg(F.sum("count").alias("session_count"))
 
 
-def feature_table(entities: DataFrame, cells: DataFrame, n_blocks: int = 8, buckets: int | None = None) -> DataFrame:
+def feature_table(entities: DataFrame, cells: DataFrame, n_blocks: int = 4, buckets: int | None = None) -> DataFrame:
     """Keys, event_count, first_seen, last_seen, session_count, features (map from event name to
     count, last_at and total amount): one row for each row of `entities` (project_id, person_id).
 
     `cells` as from `activity`. Every block has the buckets of the entity table, so the joins need
     no further shuffle; only `entities` is moved once. An entity without events has 0, null, null,
     0 and an empty map. A null event name is the name ''; amounts that are no plain number add
-    nothing. Entities are taken as they come: repeat one and its row is repeated.
+    nothing. Entities are taken as they come: repeat one and its row is repeated. `cells` is
+    written down first; there are as many buckets as its size asks for, at least one per core.
     """
-    buckets = buckets or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = materialize(cells)
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    buckets = buckets or min(MAX_BUCKETS, max(cores, -(-bytes_of(cells) // BUCKET_BYTES)))
     blocks = feature_blocks(cells, n_blocks, buckets)
     wide = reduce(lambda left, block: left.join(block, KEYS, "left"), [*blocks, session_block(cells)], entities.select(*KEYS))
     total = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"n_{b}"), F.lit(0)) for b in range(n_blocks)))

@@ -119,7 +119,7 @@ flagged AS (SELECT distinct_id, coalesce(session_id, '') AS session_id, epoch_us
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY distinct_id, session_id ORDER BY t_us, uuid ROWS UNBOUNDED PRECEDING) AS nr FROM flagged),
 found AS (SELECT distinct_id, session_id, min(t_us) AS start_us, max(t_us) AS end_us, count(*) AS n_events FROM numbered GROUP BY distinct_id, session_id, nr)"""
 _FILES = r"""
-files AS (SELECT project_id, day, min(id) AS id, max(bytes) AS bytes, max(rows) AS rows FROM (
+files AS (SELECT project_id, day, name, min(id) AS id, max(bytes) AS bytes, max(rows) AS rows FROM (
   SELECT *, regexp_extract(replace(relative_path, '\', '/'), '([^/]+)$', 1) AS name FROM lake_files WHERE retired_generation IS NULL) f GROUP BY project_id, day, name),
 small AS (SELECT *, count(*) OVER (PARTITION BY project_id, day) AS n FROM files WHERE bytes IS NULL OR bytes < 32768)"""
 _PERSON_EVENTS = f"""
