@@ -7,12 +7,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.contract import Breakdown, Exclusion, Filter, Funnel, Paths, Period, Series
+from strandline.contract import OTHER, Breakdown, Exclusion, Filter, Funnel, Paths, Period, Series
 from strandline.functions import dates, properties
 from strandline.functions.times import DAY, HOUR, MINUTE
 from strandline.operators import explore, funnels, identity, paths, retention, trends, web
-from strandline.operators.relation import Source, relation
+from strandline.operators.relation import Source, earliest_event, relation
+from strandline.plans import engine
 from strandline.plans.problem_queries import table
+from strandline.session import local_rows
 
 START, END = (dates._absolute(d)[0] for d in ("2018-01-08", "2018-01-22"))
 NOW = dates._absolute("2018-01-28T12:00:00Z")[0]
@@ -39,6 +41,16 @@ def filtered(spark: SparkSession, folder: str, *filters: Filter) -> DataFrame:
     return events.where(properties.condition(filters)).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
+def filtered_dates(spark: SparkSession, folder: str, op: str, value: str) -> DataFrame:
+    """How many events pass a date filter on a property that says their day, or their moment in
+    another zone, by event: no property of the test data holds dates."""
+    events = table(spark, folder, "captured_events")
+    day, moment = F.date_format("timestamp", "yyyy-MM-dd"), F.date_format(F.col("timestamp") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    said = F.when(F.col("session_id").isNull(), day).otherwise(moment)
+    dated = events.withColumn("properties", F.to_json(F.struct(said.alias("said"))))
+    return dated.where(properties.condition((Filter("said", op, value),))).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
 STEPS = (Series("$pageview"), Series("$autocapture"), Series("$pageleave"))
 
 
@@ -106,6 +118,31 @@ def path_actors(spark: SparkSession, folder: str) -> DataFrame:
     return paths.actors(source(spark, folder), Paths(), FORTNIGHT, "1_/", "2_/pricing")
 
 
+def other_actors(spark: SparkSession, folder: str) -> DataFrame:
+    """Everyone behind '$$_other' of a breakdown that shows three values."""
+    return trends.actors(source(spark, folder), Series("$pageview", "dau"), FORTNIGHT, None, (), Breakdown("$browser", limit=3), OTHER)
+
+
+CHROME = (Filter("$browser", "exact", "Chrome"),)
+
+
+def filtered_path_actors(spark: SparkSession, folder: str) -> DataFrame:
+    return paths.actors(source(spark, folder), Paths(filters=CHROME), FORTNIGHT, "1_/", "2_/pricing")
+
+
+def actors_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The persons 21 to 70 behind a day's active users, as the engine hands them out."""
+    asked = {"kind": "TrendsQuery", "series": [{"event": "$pageview", "math": "dau"}], "date_range": {"date_from": "2018-01-08", "date_to": "2018-01-21"}}
+    found = engine.actors(asked, {"kind": "TrendsPoint", "bucket": START + 3 * DAY}, source(spark, folder), NOW, 50, 20)
+    return local_rows(spark, list(enumerate(found)), "place int, person_id string")
+
+
+def trend_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly totals since the first event."""
+    period = dates.resolve("all", None, "month", NOW, earliest_event(table(spark, folder, "captured_events")))
+    return trend(spark, folder, [MATHS["total"]], period).where("bucket IS NOT NULL AND value > 0").select("bucket", "value")
+
+
 def sessions_of_web(spark: SparkSession, folder: str) -> DataFrame:
     facts = web.session_facts(source(spark, folder), FORTNIGHT)
     return facts.select("start_at", "duration_us", "pageviews", "autocaptures", "entry_page", "exit_page", "browser", "bounced")
@@ -131,6 +168,14 @@ def feed_page(spark: SparkSession, folder: str) -> DataFrame:
     return explore.feed(table(spark, folder, "captured_events"), 200, END).select("uuid", "event", "distinct_id", "at")
 
 
+def feed_next_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of the feed, from the first one's cursor."""
+    events = table(spark, folder, "captured_events")
+    _, cursor = explore.page(events, 150, END)
+    rows, _ = explore.page(events, 150, cursor)
+    return local_rows(spark, [(r["uuid"], r["event"], r["at"]) for r in rows], "uuid string, event string, at long")
+
+
 def feed_filtered(spark: SparkSession, folder: str) -> DataFrame:
     wanted = [Filter("plan", "icontains", ["TEAM", "ent"]), Filter("$browser", "is_set")]
     return explore.feed(table(spark, folder, "captured_events"), 100, filters=wanted, now=NOW).select("uuid", "event", "at")
@@ -156,6 +201,10 @@ def catalog_keys(spark: SparkSession, folder: str) -> DataFrame:
     return explore.property_keys(table(spark, folder, "captured_events"))
 
 
+def catalog_person_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return explore.property_keys(table(spark, folder, "persons"))
+
+
 def catalog_values(spark: SparkSession, folder: str) -> DataFrame:
     return explore.property_values(table(spark, folder, "captured_events"))
 
@@ -169,9 +218,11 @@ def reconcile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed_of_person(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest events of one person, over all its distinct ids."""
+    """The newest events of one person, over all its distinct ids: the owner of the last id that
+    belongs to someone else than itself."""
     ids = table(spark, folder, "distinct_ids")
-    owner = explore.find_person(table(spark, folder, "persons"), ids, "u-16101").select(F.col("project_id").alias("o_project"), F.col("id").alias("o_person"))
+    wanted = table(spark, folder, "person_overrides").agg(F.max("distinct_id")).first()[0]
+    owner = explore.find_person(table(spark, folder, "persons"), ids, wanted).select(F.col("project_id").alias("o_project"), F.col("id").alias("o_person"))
     mine = identity.latest(ids).join(owner, (F.col("project_id") == F.col("o_project")) & (F.col("person_id") == F.col("o_person")), "left_semi")
     return explore.feed(table(spark, folder, "captured_events"), 200, distinct_ids=mine).select("uuid", "event", "at")
 
@@ -189,8 +240,6 @@ FILTERS = {
     "lte": Filter("it's/1~key", "lte", 1),
     "is_set": Filter("ключ", "is_set"),
     "is_not_set": Filter("$session_id", "is_not_set"),
-    "date_before": Filter("note", "is_date_before", "2018-01-10"),
-    "date_after": Filter("note", "is_date_after", "2018-01-10T00:00:00Z"),
 }
 PERSON_FILTER = Filter("plan", "exact", "team", "person")
 MATHS = {
@@ -216,6 +265,8 @@ QUERIES |= {
     "trends_compare": partial(trend, series=[MATHS["total"]], compare=True),
     "trends_two_series": partial(trend, series=[MATHS["dau"], Series("$autocapture", "dau")]),
     **{f"filter_{name}": partial(lambda s, d, f: filtered(s, d, f), f=f) for name, f in FILTERS.items()},
+    "filter_date_before": partial(filtered_dates, op="is_date_before", value="2018-01-10"),
+    "filter_date_after": partial(filtered_dates, op="is_date_after", value="2018-01-10T06:30:00Z"),
     "filter_person": partial(lambda s, d, f: filtered(s, d, f), f=PERSON_FILTER),
     "filter_and": lambda s, d: filtered(s, d, FILTERS["exact"], FILTERS["not_icontains"]),
     "funnel_ordered": partial(funnel_steps, funnel=funnel_of()),
@@ -239,7 +290,12 @@ QUERIES |= {
     "paths_start": partial(walked, start="/pricing"),
     "paths_end": partial(walked, end="/pricing"),
     "paths_custom": partial(walked, kinds=("pageview", "custom"), steps=3),
+    "paths_filtered": partial(walked, filters=CHROME),
     "actors_paths": path_actors,
+    "actors_paths_filtered": filtered_path_actors,
+    "actors_trends_other": other_actors,
+    "actors_page": actors_page,
+    "trends_all_months": trend_of_all,
     "actors_trends_dau": partial(trend_actors, math="dau"),
     "actors_trends_wau": partial(trend_actors, math="weekly_active"),
     "actors_trends_session": partial(trend_actors, math="unique_session"),
@@ -249,6 +305,7 @@ QUERIES |= {
     **{f"web_{by}": partial(web_breakdown, by=by) for by in ("page", "entry_page", "exit_page", *web.ENTRY_DIMENSIONS)},
     "web_live": web_live,
     "feed_page": feed_page,
+    "feed_next_page": feed_next_page,
     "feed_filtered": feed_filtered,
     "feed_of_person": feed_of_person,
     "persons_list": persons_list,
@@ -256,6 +313,7 @@ QUERIES |= {
     "person_stats": person_stats,
     "catalog_events": catalog_events,
     "catalog_keys": catalog_keys,
+    "catalog_person_keys": catalog_person_keys,
     "catalog_values": catalog_values,
     "project_status": project_status,
     "reconcile_day_event": reconcile,
@@ -341,8 +399,6 @@ _CONDITIONS = {
     "lte": f"{_num(chr(105) + 't' + chr(39) + 's/1~key')} <= 1",
     "is_set": f"{_text('ключ')} IS NOT NULL",
     "is_not_set": "session_id IS NULL",
-    "date_before": f"TRY_CAST({_text('note')} AS TIMESTAMPTZ) < TIMESTAMPTZ '2018-01-10 00:00:00+00'",
-    "date_after": f"TRY_CAST({_text('note')} AS TIMESTAMPTZ) > TIMESTAMPTZ '2018-01-10 00:00:00+00'",
 }
 SQL |= {f"filter_{k}": f"SELECT event, count(*) AS n FROM captured_events WHERE {c} GROUP BY event" for k, c in _CONDITIONS.items()}
 
@@ -491,7 +547,7 @@ SQL |= {
     "feed_page": f"SELECT uuid, event, distinct_id, epoch_us(timestamp) AS at FROM captured_events WHERE epoch_us(timestamp) < {END} ORDER BY timestamp DESC, uuid DESC LIMIT 200",
     "feed_filtered": f"SELECT uuid, event, epoch_us(timestamp) AS at FROM captured_events WHERE (contains(lower({_text('plan')}), 'team') OR contains(lower({_text('plan')}), 'ent')) AND browser IS NOT NULL ORDER BY timestamp DESC, uuid DESC LIMIT 100",
     "feed_of_person": """WITH ids AS (SELECT project_id, distinct_id, person_id FROM distinct_ids QUALIFY row_number() OVER (PARTITION BY project_id, distinct_id ORDER BY seq DESC, person_id DESC) = 1),
-        mine AS (SELECT distinct_id FROM ids WHERE (project_id, person_id) IN (SELECT project_id, person_id FROM ids WHERE distinct_id = 'u-16101' UNION ALL SELECT project_id, id FROM persons WHERE id = 'u-16101'))
+        w AS (SELECT max(distinct_id) AS w FROM person_overrides), mine AS (SELECT distinct_id FROM ids, w WHERE (project_id, person_id) IN (SELECT project_id, person_id FROM ids, w WHERE distinct_id = w UNION ALL SELECT project_id, id FROM persons, w WHERE id = w))
         SELECT uuid, event, epoch_us(timestamp) AS at FROM captured_events WHERE distinct_id IN (SELECT distinct_id FROM mine) ORDER BY timestamp DESC, uuid DESC LIMIT 200""",
     "persons_list": "SELECT id, created_at, coalesce(nullif(trim(json_extract_string(properties, '/email')), ''), nullif(trim(json_extract_string(properties, '/name')), ''), id) AS display_name FROM persons ORDER BY created_at DESC, id DESC LIMIT 100",
     "persons_search": """SELECT id, created_at FROM persons p WHERE starts_with(id, 'u-1') OR EXISTS (SELECT 1 FROM distinct_ids d WHERE d.project_id = p.project_id AND d.person_id = p.id AND starts_with(d.distinct_id, 'u-1'))
@@ -505,9 +561,24 @@ SQL |= {
         j AS (SELECT coalesce(a.day, b.day) AS day, coalesce(a.event, b.event) AS event, coalesce(a.n, 0) AS our_events, coalesce(b.n, 0) AS their_events, coalesce(a.p, 0) AS our_persons, coalesce(b.p, 0) AS their_persons FROM a FULL JOIN b ON a.day = b.day AND a.event = b.event)
         SELECT *, abs(our_events - their_events) * 100 <= greatest(our_events, their_events) AND abs(our_persons - their_persons) * 100 <= greatest(our_persons, their_persons) AS ok FROM j""",
 }
+_SAID = f"SELECT event, CASE WHEN session_id IS NULL THEN us - us % {DAY} ELSE us - us % 1000000 END AS said FROM (SELECT *, epoch_us(timestamp) AS us FROM captured_events) t"
+_RANKED = f"m AS (SELECT *, coalesce(nullif(browser, ''), '$$_none') AS bd FROM ev WHERE event = '$pageview' AND {_RANGE}), top AS (SELECT bd FROM m GROUP BY bd ORDER BY count(*) DESC, bd LIMIT 3)"
+_CHROME = f"{_RANGE} AND browser = 'Chrome'"
+SQL |= {
+    "filter_date_before": f"SELECT event, count(*) AS n FROM ({_SAID}) t WHERE said < epoch_us(TIMESTAMP '2018-01-10') GROUP BY 1",
+    "filter_date_after": f"SELECT event, count(*) AS n FROM ({_SAID}) t WHERE said > epoch_us(TIMESTAMP '2018-01-10 06:30:00') GROUP BY 1",
+    "paths_filtered": SQL["paths_all"].replace(_RANGE, _CHROME),
+    "actors_paths_filtered": SQL["actors_paths"].replace(_RANGE, _CHROME),
+    "actors_trends_other": f"WITH {_EV}, {_RANKED} SELECT DISTINCT person AS person_id FROM m WHERE bd NOT IN (SELECT bd FROM top)",
+    "actors_page": f"WITH {_EV}, p AS (SELECT DISTINCT person FROM ev WHERE event = '$pageview' AND us // {DAY} = {START // DAY + 3} ORDER BY person LIMIT 50 OFFSET 20) SELECT CAST(row_number() OVER (ORDER BY person) - 1 AS INT) AS place, person AS person_id FROM p",
+    "trends_all_months": f"SELECT epoch_us(date_trunc('month', timestamp)) AS bucket, CAST(count(*) AS DOUBLE) AS value FROM captured_events WHERE event = '$pageview' AND epoch_us(timestamp) < {dates.trunc(NOW, 'day') + DAY} GROUP BY 1",
+    "feed_next_page": f"""WITH e AS (SELECT uuid, event, epoch_us(timestamp) AS us FROM captured_events), a AS (SELECT * FROM e WHERE us < {END} ORDER BY us DESC, uuid DESC LIMIT 151), c AS (SELECT min(us) AS us FROM a WHERE us > (SELECT min(us) FROM a)),
+        b AS (SELECT * FROM e WHERE us < (SELECT us FROM c) ORDER BY us DESC, uuid DESC LIMIT 151) SELECT uuid, event, us AS at FROM b WHERE us > (SELECT min(us) FROM b) OR (SELECT count(*) FROM b) <= 150""",
+}
 _MEMBERS = "m AS (SELECT k AS key, json_extract_string(properties, '/' || replace(replace(k, '~', '~0'), '/', '~1')) AS value FROM (SELECT properties, unnest(json_keys(properties)) AS k FROM captured_events) t)"
 SQL["catalog_keys"] = f"""WITH {_MEMBERS}, c AS (SELECT key, CASE WHEN regexp_full_match(value, {_NUMBER}) THEN 'number' WHEN value IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS type, count(*) AS n FROM m WHERE value IS NOT NULL GROUP BY ALL)
     SELECT key, CAST(sum(n) AS BIGINT) AS n, min((-n, type))[2] AS type FROM c GROUP BY key ORDER BY n DESC, key LIMIT 500"""
+SQL["catalog_person_keys"] = SQL["catalog_keys"].replace("captured_events", "persons")
 SQL["catalog_values"] = f"""WITH {_MEMBERS}, c AS (SELECT key, value, count(*) AS n FROM m WHERE value IS NOT NULL AND value <> '' AND length(value) <= 200 AND NOT regexp_matches(key, '(?i)(^|_)(id|uuid|token)$') GROUP BY ALL)
     SELECT key, value, n FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, value) <= 100"""
 _ALL = f"us >= {WHOLE.start} AND us < {WHOLE.end}"

@@ -89,7 +89,7 @@ def person_features(spark: SparkSession, folder: str) -> DataFrame:
     amount = feature_table.strict_number(F.get_json_object("properties", "$.amount"))
     values = {c: F.col(c) for c in ("project_id", "distinct_id", "event", "session_id")}
     unique = earliest(events, F.col("uuid"), micros(events, "timestamp"), **values, amount=amount)
-    cells = materialize(feature_table.activity(unique, table(spark, folder, "distinct_ids")))
+    cells = feature_table.activity(unique, table(spark, folder, "distinct_ids"))
     persons = table(spark, folder, "persons").select("project_id", F.col("id").alias("person_id"))
     return feature_table.feature_table(persons, cells)
 
@@ -151,6 +151,10 @@ SQL = {
     "p5_found": f"WITH {_SESSIONS} SELECT * FROM found",
     "p5_by_day": f"WITH {_SESSIONS} SELECT start_us - start_us % {24 * HOUR} AS day_us, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events, CAST(sum(end_us - start_us) AS BIGINT) AS total_us, max(end_us - start_us) AS longest_us FROM found GROUP BY 1",
     "p6_found": f"WITH {_FILES} SELECT id FROM small WHERE n > 1",
+    "p6_plan": f"WITH {_FILES} SELECT project_id, day, 0 AS chunk, CAST(0 AS BIGINT) AS bin, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes_before, CAST(sum(rows) AS BIGINT) AS rows_registered FROM small WHERE n > 1 GROUP BY project_id, day",
+    "p6_compact": f"""WITH {_FILES}, chosen AS (SELECT project_id, day, name FROM small WHERE n > 1), ids AS (SELECT c.project_id, c.day, c.name, l.id FROM chosen c JOIN lake_files l ON l.project_id = c.project_id AND l.day = c.day
+        AND regexp_extract(replace(relative_path, '\', '/'), '([^/]+)$', 1) = c.name AND l.retired_generation IS NULL)
+        SELECT i.project_id, i.day, CAST(0 AS BIGINT) AS bin, (SELECT count(*) FROM chosen c WHERE c.project_id = i.project_id AND c.day = i.day) AS n_files, count(*) AS n_rows FROM (SELECT DISTINCT project_id, day, id FROM ids) i JOIN captured_events e ON e.file_id = i.id GROUP BY i.project_id, i.day""",
     "p7_found": f"""WITH {_PERSON_EVENTS}, stored AS (SELECT DISTINCT project_id, person_id, event_count, first_seen, last_seen, session_count FROM person_stats)
         SELECT DISTINCT coalesce(f.person_id, s.person_id) AS person_id FROM full_stats f FULL JOIN stored s ON f.project_id = s.project_id AND f.person_id = s.person_id
         WHERE f.person_id IS NULL OR s.person_id IS NULL OR f.event_count IS DISTINCT FROM s.event_count OR f.first_seen IS DISTINCT FROM s.first_seen OR f.last_seen IS DISTINCT FROM s.last_seen OR f.session_count IS DISTINCT FROM s.session_count""",

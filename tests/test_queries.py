@@ -21,7 +21,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).columns
+    assert QUERIES[name](spark, FOLDER).count() > 0
 
 
 def test_entry_has_every_query(spark):
