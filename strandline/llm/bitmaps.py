@@ -11,35 +11,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.files import exists, names, remove, rename
 from strandline.session import materialize
 
 WORDS_A_BUCKET = 1024
 
 
-def dictionary(ids: DataFrame, column: str, near: str | None = None) -> DataFrame:
+def dictionary(ids: DataFrame, column: str, near: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """Columns id, code: each different non-null value of `column` as a dense integer from 0.
 
-    Ids are sorted by range, so no task sees them all, and numbered within their part; only the
-    parts' sizes (one number per partition) go to the driver. Ids of one `near` (their smallest)
-    get neighbouring codes, so that a group of few ids has few words. The numbering is written
-    down before it is used, because a code must not change when a lost task runs again.
+    Ids are sorted by range, so no task sees them all, and numbered within their part; the parts'
+    sizes (one row per partition) give where each part's codes begin. Ids of one `near` (their
+    smallest) get neighbouring codes, so that a group of few ids has few words. The numbering is
+    written down before it is used, because a code must not change when a lost task runs again.
+    `known`: a dictionary made before. Its ids keep their codes and new ones follow after the
+    highest, so bitmaps made with it can be combined with those made now.
     """
-    known = ids.where(F.col(column).isNotNull())
-    hint = F.min(near) if near else F.lit(0)
-    distinct = known.groupBy(F.col(column).alias("id")).agg(hint.alias("near"))
+    wanted = ids.where(F.col(column).isNotNull()).select(F.col(column).alias("id"), (F.col(near) if near else F.lit(0)).alias("near"))
+    distinct = wanted.groupBy("id").agg(F.min("near").alias("near"))
+    base = 0
+    if known is not None:
+        base = known.agg(F.coalesce(F.max("code") + 1, F.lit(0)).alias("n")).first()["n"]
+        distinct = distinct.join(known.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti")
     placed = distinct.repartitionByRange("near", "id").sortWithinPartitions("near", "id")
     stored = materialize(placed.select("id", F.monotonically_increasing_id().alias("place")))
     part, rank = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    sizes = stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size")).orderBy("part").collect()
-    offsets, start = [], 0
-    for row in sizes:
-        offsets += [start] * (row["part"] + 1 - len(offsets))
-        start += row["size"]
-    first = F.get(F.array(*(F.lit(o).cast("long") for o in offsets or [0])), part.cast("int"))
-    return stored.select("id", (first + rank).alias("code"))
+    sizes = stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size") + F.lit(base)).alias("start"))
+    fresh = stored.withColumn("in_part", part).join(F.broadcast(starts), F.col("in_part") == F.col("part")).select("id", (F.col("start") + rank).alias("code"))
+    return fresh if known is None else known.select("id", "code").unionByName(fresh)
 
 
 def bits_of(codes: Column) -> tuple[Column, Column]:
@@ -103,3 +106,43 @@ def distinct_counts(rows: DataFrame, column: str, sets: dict[str, list[str]], ne
     gids = {name: sum(1 << (len(groups) - i) for i, g in enumerate(groups) if g not in columns) for name, columns in sets.items()}
     label = F.coalesce(*(F.when(F.col("gid") == gid, F.lit(name)) for name, gid in gids.items()))
     return cardinality(united.withColumn("grouping", label), ["grouping", *groups])
+
+
+class BitmapStore:
+    """Bitmaps of several runs over one dictionary that only grows, below one folder.
+
+    Each run adds codes for ids that no earlier one had (dictionary/run=N) and the packed bitmaps
+    of its own rows (bitmaps/run=N): the mergeable partial results, a few bits per member and
+    group. Reading a day back ORs what the runs stored for it; the rows themselves aren't needed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, groups: list[str]) -> None:
+        self.spark, self.root, self.groups = spark, root.rstrip("/"), groups
+
+    def _parts(self, kind: str, before: int | None = None) -> DataFrame | None:
+        runs = [n for n in names(self.spark, f"{self.root}/{kind}") if n.startswith("run=") and (before is None or int(n[4:]) < before)]
+        return self.spark.read.parquet(*(f"{self.root}/{kind}/{n}" for n in runs)) if runs else None
+
+    def _once(self, kind: str, run: int, df: DataFrame) -> None:
+        target, draft = f"{self.root}/{kind}/run={run}", f"{self.root}/{kind}/_draft-{run}"
+        if not exists(self.spark, target):
+            remove(self.spark, draft)
+            df.write.option("compression", "zstd").parquet(draft)
+            rename(self.spark, draft, target)
+
+    def add(self, rows: DataFrame, column: str, run: int, near: str | None = None) -> None:
+        """Take in the rows (groups, `column`) of a run, numbered in order. A run that is tried again
+        after a failure keeps the codes it gave. One run at a time."""
+        known = self._parts("dictionary", run)
+        if not exists(self.spark, f"{self.root}/dictionary/run={run}"):
+            codes = dictionary(rows, column, near, known)
+            self._once("dictionary", run, codes if known is None else codes.join(known.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti"))
+        members = member_words(rows, self.groups, column, self._parts("dictionary", run + 1))
+        self._once("bitmaps", run, pack(union(members, self.groups), self.groups))
+
+    def bitmaps(self) -> DataFrame:
+        """groups, word, bits: OR of all runs."""
+        packed = self._parts("bitmaps")
+        if packed is None:
+            raise ValueError("no run was taken in yet")
+        return union(unpack(packed, self.groups), self.groups)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions.times import DAY, day_text, micros
 from strandline.llm import bitmaps, mixing, stuffed_pages, subsequences, tokenizer
 from strandline.plans.problem_queries import table, unique_captured
-from strandline.session import materialize
+from strandline.session import materialize, scratch
 
 CELL = ["day", "event", "project_id", "country"]
 
@@ -37,6 +37,19 @@ def p1_trailing_week(spark: SparkSession, folder: str) -> DataFrame:
     return bitmaps.cardinality(bitmaps.union(bitmaps.unpack(weekly, groups), groups), groups)
 
 
+def p1_two_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Different distinct_ids per day and event, from bitmaps stored by two runs, the batches that
+    arrived first and those after: the second run's dictionary goes on from the first one's."""
+    events = table(spark, folder, "captured_events")
+    half = events.agg(F.avg("batch_id")).first()[0]
+    first = F.coalesce(F.col("batch_id") <= half, F.lit(True))
+    rows = events.select(day_text(micros(events, "timestamp")).alias("day"), "event", "project_id", "distinct_id", first.alias("first"))
+    store = bitmaps.BitmapStore(spark, scratch(spark), ["day", "event"])
+    for run, part in enumerate((F.col("first"), ~F.col("first"))):
+        store.add(rows.where(part), "distinct_id", run, "project_id")
+    return bitmaps.cardinality(store.bitmaps(), ["day", "event"])
+
+
 def p1_both_events(spark: SparkSession, folder: str) -> DataFrame:
     """Different distinct_ids with both a $pageview and a $identify on the same day: AND of bitmaps."""
     rows = _by_day(spark, folder).where(F.col("event").isin("$pageview", "$identify"))
@@ -85,7 +98,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_evidence(spark, folder).where("stuffed").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct, p1_trailing_week, p1_both_events, p3_found, p8_ids, p9_mix, p9_shares, p10_found, p10_evidence)}
+QUERIES = {f.__name__: f for f in (p1_distinct, p1_trailing_week, p1_two_runs, p1_both_events, p3_found, p8_ids, p9_mix, p9_shares, p10_found, p10_evidence)}
 
 _DAY = "strftime(timestamp, '%Y-%m-%d')"
 SQL = {
@@ -95,6 +108,7 @@ SQL = {
         UNION ALL SELECT 'day_event_project_country', day, event, project_id, country, count(DISTINCT distinct_id), 0 FROM e GROUP BY ALL""",
     "p1_trailing_week": f"""WITH e AS (SELECT DISTINCT project_id, epoch_us(timestamp) // {DAY} AS d, distinct_id FROM captured_events)
         SELECT project_id, CAST(d + k AS BIGINT) AS day_no, count(DISTINCT distinct_id) AS n_distinct, CAST(0 AS DOUBLE) AS error_bound FROM e, range(7) r(k) GROUP BY 1, 2""",
+    "p1_two_runs": f"SELECT {_DAY} AS day, event, count(DISTINCT distinct_id) AS n_distinct, CAST(0 AS DOUBLE) AS error_bound FROM captured_events WHERE distinct_id IS NOT NULL GROUP BY ALL",
     "p1_both_events": f"""SELECT day, count(*) AS n_distinct, CAST(0 AS DOUBLE) AS error_bound FROM (
         SELECT {_DAY} AS day, distinct_id FROM captured_events WHERE event = '$pageview' INTERSECT SELECT {_DAY}, distinct_id FROM captured_events WHERE event = '$identify') t GROUP BY day""",
 }

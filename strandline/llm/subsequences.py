@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from strandline.session import materialize
 BLOCK = 10_000
 #: Shorter sequences are not worth reducing.
 LONG = 48
-#: Candidates counted in one pass; more are counted in several passes.
+#: Candidates counted in one pass, which every executor holds once; more are counted in several passes.
 CANDIDATES_A_PASS = 500_000
 
 
@@ -198,17 +198,27 @@ def count_patterns(block: Block, patterns: Iterable[tuple[int, ...]]) -> Iterato
             yield pattern, len(stack[len(pattern) - 1][1])
 
 
-def _read_block(frames: Iterable[pd.DataFrame], longest: int) -> list[np.ndarray]:
-    rows: list[np.ndarray] = []
+def block_packer(longest: int):
+    """For mapInPandas over the sequences of one block: the block as one row, its reduced sequences
+    one after the other and where each ends."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [reduced(np.asarray(items, dtype=np.int32), longest) for frame in frames for items in frame["items"]]
+        if rows:
+            yield pd.DataFrame({"items": [np.concatenate(rows)], "ends": [np.cumsum([len(r) for r in rows]).astype(np.int32)]})
+
+    return run
+
+
+def _blocks(frames: Iterable[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
     for frame in frames:
-        rows += [reduced(np.asarray(items, dtype=np.int64), longest) for items in frame["items"]]
-    return rows
+        for items, ends in zip(frame["items"], frame["ends"]):
+            yield np.split(np.asarray(items, dtype=np.int64), ends[:-1])
 
 
 def block_miner(threshold: int, total: int, shortest: int, longest: int):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _read_block(frames, longest)
-        if rows:
+        for rows in _blocks(frames):
             local = max(1, -(-threshold * len(rows) // total))
             found = [([], len(rows))] + [(list(p), n) for p, n in mine(Block(rows), local, longest) if len(p) >= shortest]
             yield pd.DataFrame({"codes": [p for p, _ in found], "support": np.array([n for _, n in found], dtype=np.int64), "missed": np.int64(local - 1)})
@@ -216,11 +226,10 @@ def block_miner(threshold: int, total: int, shortest: int, longest: int):
     return run
 
 
-def block_counter(patterns: list[tuple[int, ...]], longest: int):
+def block_counter(patterns: Broadcast):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _read_block(frames, longest)
-        if rows:
-            found = [(list(p), n) for p, n in count_patterns(Block(rows), patterns)]
+        for rows in _blocks(frames):
+            found = [(list(p), n) for p, n in count_patterns(Block(rows), patterns.value)]
             yield pd.DataFrame({"codes": [p for p, _ in found], "support": np.array([n for _, n in found], dtype=np.int64)})
 
     return run
@@ -251,7 +260,10 @@ def frequent_subsequences(events: DataFrame, threshold: int, shortest: int = 3,
     n_blocks = -(-total // block)
     stretches = F.sort_array(F.collect_list(F.struct("part", "items")))
     sequences = parts.repartition(n_blocks, "entity").groupBy("entity").agg(F.flatten(stretches["items"]).alias("items")).select("items")
-    mined = sequences.mapInPandas(block_miner(threshold, total, shortest, longest), "codes array<int>, support long, missed long")
+    blocks = sequences.mapInPandas(block_packer(longest), "items array<int>, ends array<int>")
+    if n_blocks > 1:
+        blocks = materialize(blocks)  # read once more by every pass
+    mined = blocks.mapInPandas(block_miner(threshold, total, shortest, longest), "codes array<int>, support long, missed long")
     found = mined.groupBy("codes").agg(F.sum("support").alias("support"), F.count(F.lit(1)).alias("blocks"), F.sum("missed").alias("missed"))
     labels = F.array(*(F.lit(n) for n in names))
     named = lambda df: df.select(F.transform("codes", lambda c: F.get(labels, c)).alias("pattern"), "support")
@@ -268,7 +280,7 @@ def frequent_subsequences(events: DataFrame, threshold: int, shortest: int = 3,
     candidates = iter(open_.orderBy("codes").toLocalIterator())
     results = [complete]
     while chunk := [tuple(r["codes"]) for _, r in zip(range(CANDIDATES_A_PASS), candidates)]:
-        counted = sequences.mapInPandas(block_counter(chunk, longest), "codes array<int>, support long")
+        counted = blocks.mapInPandas(block_counter(spark.sparkContext.broadcast(chunk)), "codes array<int>, support long")
         results.append(counted.groupBy("codes").agg(F.sum("support").alias("support")).where(F.col("support") >= threshold))
     whole = results[0]
     for more in results[1:]:

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandline.llm import bitmaps, subsequences
+from strandline.session import scratch
 from tests.llm.test_queries import grow
 
 # ---- bitmaps
@@ -43,6 +44,33 @@ def test_codes_are_dense_and_bitmaps_behave_like_sets(spark, rows):
     assert bitmaps.cardinality(bitmaps.union(sides[0].unionByName(sides[1]), ["k"]), ["k"]).first()["n_distinct"] == len(sets["a"] | sets["b"])
 
 
+def test_a_dictionary_that_grows_keeps_its_codes(spark):
+    first = spark.createDataFrame([("b", "p"), ("a", "q"), (None, "p")], "id string, near string")
+    more = spark.createDataFrame([("a", "p"), ("c", "p"), ("0", None)], "id string, near string")
+    old = bitmaps.dictionary(first, "id", "near")
+    new = bitmaps.dictionary(more, "id", "near", old)
+    before, after = ({r["id"]: r["code"] for r in d.collect()} for d in (old, new))
+    assert sorted(after.values()) == [0, 1, 2, 3] and before.items() <= after.items()
+    assert bitmaps.dictionary(more.limit(0), "id", known=old).count() == 2
+    assert bitmaps.dictionary(more, "id", known=old.limit(0)).count() == 3
+
+
+def test_bitmaps_of_several_runs_are_combined(spark):
+    random.seed(6)
+    data = [[(random.choice(["1", "2", None]), random.choice([None, *(f"id{i}" for i in range(90 * (run + 1)))])) for _ in range(200)] for run in range(3)]
+    store = bitmaps.BitmapStore(spark, scratch(spark), ["day"])
+    with pytest.raises(ValueError):
+        store.bitmaps()
+    for run, part in enumerate(data):
+        df = spark.createDataFrame(part, "day string, id string")
+        store.add(df, "id", run)
+        store.add(df, "id", run)  # tried again
+    found = {r["day"]: r["n_distinct"] for r in bitmaps.cardinality(store.bitmaps(), ["day"]).collect()}
+    assert found == {d: len({i for part in data for e, i in part if e == d and i}) for d in ("1", "2", None)}
+    codes = [r["code"] for r in store._parts("dictionary").collect()]
+    assert sorted(codes) == list(range(len({i for part in data for _, i in part if i})))
+
+
 # ---- subsequences
 
 

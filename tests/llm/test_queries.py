@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - {"p3_found"}))
 def test_query_runs(spark, name):
-    assert queries.QUERIES[name](spark, FOLDER).columns
+    queries.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
 
 
 def grow(sequences, threshold, longest, prefix=(), ends=None):
