@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -47,19 +48,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class People:
-    """The persons of one component, as identity events are applied in order."""
+    """The persons of one component, as identity events are applied in order.
+
+    Ids are joined into trees: the root stands for a person, and every edge holds the event that
+    moved what lies below it. seq grows, so an id's latest move is the largest on its way up. A
+    merge is one new root, whatever the number of ids, and paths are shortened as they are walked.
+    """
 
     def __init__(self) -> None:
-        self.owner: dict[str, str] = {}
-        self.seq: dict[str, int] = {}
+        self.up: list[tuple[int, int]] = []  # parent (itself for a root) and seq of the edge to it
+        self.node: dict[str, int] = {}
+        self.name: dict[int, str] = {}
         self.known: dict[str, dict] = {}
 
+    def _root(self, node: int) -> tuple[int, int]:
+        """The root above a node, and the largest seq on the way."""
+        path = []
+        while self.up[node][0] != node:
+            path.append(node)
+            node = self.up[node][0]
+        latest = 0
+        for below in reversed(path):
+            latest = max(latest, self.up[below][1])
+            self.up[below] = (node, latest)
+        return node, latest
+
+    def owner(self, distinct_id: str) -> str:
+        return self.name[self._root(self.node[distinct_id])[0]]
+
+    def moved(self, distinct_id: str) -> int:
+        """seq of the event that last moved the id; 0 if none did."""
+        return self._root(self.node[distinct_id])[1]
+
     def ensure(self, distinct_id: str, at: int) -> str:
         """The person of an id; a new one is named after it and created at the event's time."""
-        if distinct_id not in self.owner:
-            self.owner[distinct_id], self.seq[distinct_id] = distinct_id, 0
+        if distinct_id not in self.node:
+            new = len(self.up)
+            self.up.append((new, 0))
+            self.node[distinct_id], self.name[new] = new, distinct_id
             self.known[distinct_id] = {"created": at, "identified": False, "properties": {}, "first_key": distinct_id, "last_seen": None}
-        return self.owner[distinct_id]
+        return self.owner(distinct_id)
 
     def merge(self, loser_id: str, winner_id: str, at: int, guard: str, seq: int) -> None:
         """One person of two, unless the guard refuses: the winner's properties win, the older
@@ -67,20 +95,23 @@ class People:
         winner, loser = self.ensure(winner_id, at), self.ensure(loser_id, at)
         if winner == loser:
             return
+        roots = {"winner": self._root(self.node[winner_id])[0], "loser": self._root(self.node[loser_id])[0]}
         if self.known[loser]["identified"]:
             if guard == "$identify" or guard == "$create_alias" and self.known[winner]["identified"]:
                 return
             if guard == "$create_alias":
                 winner, loser = loser, winner
+                roots = {"winner": roots["loser"], "loser": roots["winner"]}
         kept, gone = self.known[winner], self.known.pop(loser)
         kept["properties"] = gone["properties"] | kept["properties"]
         if gone["created"] < kept["created"]:
             kept["created"], kept["first_key"] = gone["created"], gone["first_key"]
         kept["last_seen"] = max((x for x in (kept["last_seen"], gone["last_seen"]) if x is not None), default=None)
         kept["identified"] = True
-        for i, person in self.owner.items():
-            if person == loser:
-                self.owner[i], self.seq[i] = winner, seq
+        new = len(self.up)
+        self.up.append((new, 0))
+        self.up[roots["winner"]], self.up[roots["loser"]] = (new, 0), (new, seq)
+        self.name[new] = winner
 
     def apply(self, seq: int, event: str, distinct_id: str, at: int, other: str | None, document: str | None) -> None:
         person = self.known[self.ensure(distinct_id, at)]
@@ -88,11 +119,11 @@ class People:
         if event in JOINS and other:
             self.merge(other, distinct_id, at, event, seq)
         if event in ("$identify", "$create_alias"):
-            self.known[self.owner[distinct_id]]["identified"] = True
+            self.known[self.owner(distinct_id)]["identified"] = True
         if not document:
             return
         changes = json.loads(document)
-        held = self.known[self.owner[distinct_id]]["properties"]
+        held = self.known[self.owner(distinct_id)]["properties"]
         once, now, gone = (changes.get(k) for k in ("$set_once", "$set", "$unset"))
         if isinstance(once, dict):
             held |= {k: v for k, v in once.items() if k not in held}
@@ -106,31 +137,51 @@ class People:
 COLUMNS = "project_id string, distinct_id string, person_id string, seq long, is_person boolean, created_us long, is_identified boolean, properties string, first_seen_key string, last_seen_us long"
 
 
-def fold_component(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The outcome of one component's events, in order of seq: a row per distinct id; the row
-    whose id names the person carries the person's figures."""
-    people = People()
-    for r in rows.sort_values("seq").itertuples(index=False):
-        people.apply(int(r.seq), r.event, r.distinct_id, int(r.at), r.other, r.changes)
+def outcome(project: str, people: People) -> pd.DataFrame:
+    """A row per distinct id; the row whose id names the person carries the person's figures."""
     out = []
-    for i, person in people.owner.items():
+    for i in people.node:
+        person = people.owner(i)
         p = people.known[person] if i == person else None
         own = (p["created"], p["identified"], json.dumps(p["properties"], ensure_ascii=False), p["first_key"], p["last_seen"]) if p else (None,) * 5
-        out.append((key[0], i, person, people.seq[i], p is not None, *own))
+        out.append((project, i, person, people.moved(i), p is not None, *own))
     return pd.DataFrame(out, columns=[c.split(" ")[0] for c in COLUMNS.split(", ")])
 
 
+def fold(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The outcome of each component's events, which come one component after the other in order of
+    seq. What is held is a component's persons and ids, not its events."""
+    last, people = None, People()
+    for frame in frames:
+        for r in frame.itertuples(index=False):
+            if (r.project_id, r.component) != last:
+                if last is not None:
+                    yield outcome(last[0], people)
+                last, people = (r.project_id, r.component), People()
+            people.apply(int(r.seq), r.event, r.distinct_id, int(r.at), r.other, r.changes)
+    if last is not None:
+        yield outcome(last[0], people)
+
+
 def resolve(events: DataFrame) -> DataFrame:
     """Persons and ids after all `events` (project_id, distinct_id, event, at, properties, seq).
 
     seq gives the order in which events count. Refusals between two identified persons depend on
-    that order, so the events of ids that are connected at all are folded one after the other;
-    plain events of an id are reduced beforehand to its first and its latest, so a component's
-    size is that of its identity and property events. Columns: see COLUMNS.
+    that order, so the events of ids that are connected at all are folded one after the other, in
+    one task, which reads them sorted and holds the persons only. Before that an id's plain events
+    are reduced to its first and its latest, and so are repeats of an identity event: what the first
+    one did, or was refused, is so for good. Columns: see COLUMNS.
     """
     other = other_id()
     changing = F.col("properties").rlike(r'"\$(set|set_once|unset)"')
     own = events.where(F.col("distinct_id").isNotNull()).withColumn("other", other).withColumn("changes", F.when(changing, F.col("properties")))
+    joins = F.col("event").isin(list(JOINS))
+    told = own.where(joins)
+    first = told.groupBy(F.col("project_id").alias("f_project"), F.col("distinct_id").alias("f_id"), F.col("event").alias("f_event"), F.col("other").alias("f_other")).agg(F.min("seq").alias("f_seq"))
+    same = (F.col("project_id") == F.col("f_project")) & (F.col("distinct_id") == F.col("f_id")) & (F.col("event") == F.col("f_event")) & F.col("other").eqNullSafe(F.col("f_other"))
+    again = F.coalesce(F.col("seq") > F.col("f_seq"), F.lit(False))
+    once = told.join(first, same, "left").withColumns({"event": F.when(again, F.lit("")).otherwise(F.col("event")), "other": F.when(~again, F.col("other"))})
+    own = own.where(~joins).unionByName(once.select(*own.columns))
     telling = F.col("event").isin(list(JOINS)) | F.col("changes").isNotNull()
     plain = own.where(~telling).groupBy("project_id", "distinct_id").agg(F.min(F.struct("seq", "at")).alias("first"), F.max(F.struct("at", "seq")).alias("last"))
     ends = plain.select("project_id", "distinct_id", F.explode(F.array(F.struct("first.seq", "first.at"), F.struct("last.seq", "last.at"))).alias("e")).select("project_id", "distinct_id", "e.seq", "e.at", F.lit("").alias("event"), F.lit(None).cast("string").alias("other"), F.lit(None).cast("string").alias("changes"))
@@ -138,7 +189,8 @@ def resolve(events: DataFrame) -> DataFrame:
     node = lambda c: F.concat(F.col("project_id"), F.lit("\u001f"), F.col(c))
     edges = own.where(F.col("other").isNotNull()).select(node("distinct_id").alias("a"), node("other").alias("b"))
     grouped = stream.withColumn("n", node("distinct_id")).join(components(edges), F.col("n") == F.col("node"), "left")
-    return grouped.withColumn("component", F.coalesce("component", "n")).select("project_id", "component", "seq", "at", "event", "distinct_id", "other", "changes").groupBy("project_id", "component").applyInPandas(fold_component, COLUMNS)
+    placed = grouped.withColumn("component", F.coalesce("component", "n")).select("project_id", "component", "seq", "at", "event", "distinct_id", "other", "changes")
+    return placed.repartition("project_id", "component").sortWithinPartitions("project_id", "component", "seq").mapInPandas(fold, COLUMNS)
 
 
 def overrides(resolved: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import random
 from urllib.parse import quote
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,66 @@ def test_properties_and_first_key_of_a_merged_person(spark):
     assert [tuple(r) for r in identity.overrides(resolved).collect()] == [("p", "a", "u")]
 
 
+def plainly(data):
+    """Every event in turn, every id's owner in a dict: id -> (person, seq), person -> identified, first key, properties."""
+    owner, moved, people = {}, {}, {}
+    for seq, (event, who, props) in enumerate(data):
+        other = props.get("$anon_distinct_id") if event == "$identify" else props.get("alias") if event in ("$create_alias", "$merge_dangerously") else None
+        ensure = [who] + ([other] if other and other != who else [])
+        for i in ensure:
+            if i not in owner:
+                owner[i], moved[i], people[i] = i, 0, [False, (seq, i), {}]
+        if len(ensure) == 2 and owner[who] != owner[other]:
+            win, lose = owner[who], owner[other]
+            refused = people[lose][0] and (event == "$identify" or event == "$create_alias" and people[win][0])
+            if not refused:
+                if people[lose][0] and event == "$create_alias":
+                    win, lose = lose, win
+                gone = people.pop(lose)
+                people[win] = [True, min(people[win][1], gone[1]), gone[2] | people[win][2]]
+                for i in owner:
+                    if owner[i] == lose:
+                        owner[i], moved[i] = win, seq
+        if event in ("$identify", "$create_alias"):
+            people[owner[who]][0] = True
+        people[owner[who]][2].update(props.get("$set", {}))
+    return {i: (owner[i], moved[i]) for i in owner}, {p: (v[0], v[2]) for p, v in people.items()}
+
+
+def test_the_fold_equals_one_event_after_the_other(spark):
+    """With repeated identity events, refusals, swaps and properties."""
+    random.seed(11)
+    for _ in range(4):
+        data = []
+        for n in range(150):
+            who, other = (f"i{random.randrange(12)}" for _ in "ab")
+            event = random.choice(["$identify", "$create_alias", "$merge_dangerously", "x", "x", "$set"] if n > 20 else ["$identify", "$create_alias", "x"])
+            props = {"$anon_distinct_id" if event == "$identify" else "alias": other} if event in identity.JOINS else {"$set": {"k": n}} if event == "$set" else {}
+            data.append((event, who, props))
+        expected = plainly(data)
+        found = identity.resolve(told(spark, data)).collect()
+        assert {r["distinct_id"]: (r["person_id"], r["seq"]) for r in found} == expected[0]
+        assert {r["person_id"]: (r["is_identified"], json.loads(r["properties"])) for r in found if r["is_person"]} == expected[1]
+
+
+def test_the_fold_of_a_hot_component_grows_with_its_events_only():
+    """A chain of 20,000 merges that move ever more ids, and an id with 100,000 events, in batches."""
+    import time
+
+    n = 20_000
+    merges = [("p", "c", i, i, "$merge_dangerously", f"w{i + 1}", f"w{i}", None) for i in range(n)]
+    sets = [("p", "c", n + i, i, "$set", "w0", None, json.dumps({"$set": {f"k{i % 5}": i}})) for i in range(100_000)]
+    columns = ["project_id", "component", "seq", "at", "event", "distinct_id", "other", "changes"]
+    rows = merges + sets
+    frames = (pd.DataFrame(rows[i : i + 10_000], columns=columns) for i in range(0, len(rows), 10_000))
+    began = time.perf_counter()
+    (found,) = identity.fold(frames)
+    assert time.perf_counter() - began < 20
+    assert len(found) == n + 1 and set(found["person_id"]) == {f"w{n}"}
+    assert found.set_index("distinct_id")["seq"].loc["w0"] == n - 1
+    assert json.loads(found[found["is_person"]]["properties"].iloc[0])["k4"] == 99_999
+
+
 def test_unguarded_merges_are_connected_components(spark):
     random.seed(4)
     pairs = [(f"n{random.randrange(40):02d}", f"n{random.randrange(40):02d}") for _ in range(30)]
