@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from strandline.session import materialize, spread
 
+#: Texts whose phrases are hashed and sorted together.
+BATCH = 500
 PHRASE_WORDS = 2
 #: A phrase is replicated if lists of so many hosts carry it, and as many pages in lists as in prose,
 MIN_HOSTS = 2
@@ -51,7 +53,10 @@ TAGS = re.compile(r"<[^<>\n]{1,200}>")
 LINK = "\ue000"
 #: Letters of a word with the same mark between them.
 SPACED_OUT = re.compile(r"(?<!\S)[^\w\s]?[^\W\d_]([.*·_~-])[^\W\d_](?:\1[^\W\d_])+[^\w\s]?(?!\S)")
-MARKS = re.compile(r"[^\w\ue000]|_")
+MARKS = re.compile(r"[^\w\ue000]+|_+")
+#: Stripped first because it is quicker than the pattern, which strips all the rest.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…–—。、！？"
+AROUND = re.compile(r"^(?:\W|_)+|(?:\W|_)+$")
 TECHNICAL = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:|[{}]|\w\(|\w=\w|^\s*\|.*\|\s*$|;\s*$|^\s*(?:SELECT|FROM|WHERE|GROUP BY|WITH)\b")
 PRICE = regex.compile(r"\d[\d.,]*\s?(?:\p{Sc}|\p{Lu}{3})(?!\w)|\p{Sc}\s?\d")
 ENDS = re.compile(r"[.!?…。！？](?=\s|$|[^\s\d])|[.!?…。！？]$")
@@ -64,11 +69,9 @@ MANY_ITEMS = 12
 TAG = regex.compile(r"^[#@]\p{L}[\p{L}\p{N}_-]*$")
 LETTERS = regex.compile(r"^[\p{L}\p{M}][\p{L}\p{M}'’-]*$")
 STRUNG = regex.compile(r"^[#@]?[\p{L}\p{M}]+(?:[-_][\p{L}\p{M}]+)*$")
-#: Stripped first because it is quicker than the pattern below, which strips all the rest.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…–—。、！？"
-EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 LABEL = regex.compile(r"^\s*\p{L}[\p{L} ]{0,20}(?::\s+|=)")
-BETWEEN = re.compile(r"[\s;|·•]+|[,、#@](?=\S)")
+#: What separates tokens besides space, and what does only within a word.
+BETWEEN, JOINED = ";|·•", re.compile(r"[,、#@](?=\S)")
 UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 
 
@@ -114,10 +117,13 @@ def _is_item(part: str) -> bool:
 
 def classify(line: str) -> Line:
     """A line's tokens and what it looks like on its own."""
-    tokens = [t for t in BETWEEN.split(line) if t]
+    spaced = line
+    for mark in BETWEEN:
+        spaced = spaced.replace(mark, " ")
+    tokens = JOINED.sub(" ", spaced).split()
     if not tokens:
         return Line(tokens, 0, "blank")
-    size = len(tokens) if line.isascii() else sum(map(weight, tokens))
+    size = sum(map(weight, tokens)) if not line.isascii() and UNSPACED.search(line) else len(tokens)
     links, ends = tokens.count(LINK), len(ENDS.findall(line))
     if links and size - 2 * links <= 5 * links and not (ends and ENDS.search(line.replace(LINK, ""))):
         return Line(tokens, size, "list" if links >= 3 else "link")
@@ -197,16 +203,14 @@ def keyword_lines(lines: list[Line], each: list[list[str]]) -> list[int]:
     return found
 
 
-def _normal(token: str) -> str:
-    if not token.isalpha():
-        token = token.strip(PUNCTUATION)
-        if token and not (token[0].isalnum() and token[-1].isalnum()):
-            token = EDGES.sub("", token)
-    return token.casefold()
+def _bare(word: str) -> str:
+    word = word.strip(PUNCTUATION)
+    return word if not word or word[0].isalnum() and word[-1].isalnum() else AROUND.sub("", word)
 
 
 def normal_words(tokens: Iterable[str]) -> list[str]:
-    return [w for w in map(_normal, tokens) if w]
+    """The words in small letters, without marks around them."""
+    return [w for w in (t if t.isalpha() else _bare(t) for t in " ".join(tokens).casefold().split()) if w]
 
 
 def prepare(text: str) -> str:
@@ -260,7 +264,7 @@ def list_lines(lines: list[Line], each: list[list[str]]) -> list[bool]:
 
 def phrase_words(tokens: Iterable[str]) -> list[str]:
     """The words as they count in phrases: without marks in them, all numbers alike."""
-    return [w for w in (DIGITS.sub("0", MARKS.sub("", t)).casefold() for t in tokens) if w]
+    return [w for w in (t if t.isalpha() else DIGITS.sub("0", MARKS.sub("", t)) for t in " ".join(tokens).casefold().split()) if w]
 
 
 def examine(text: str | None) -> Evidence:
@@ -278,7 +282,7 @@ def examine(text: str | None) -> Evidence:
 
 
 def phrase_arrays(found: list[Evidence]) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """For each text the 64-bit hashes of the different phrases of its lists, how often each comes,
+    """For each text (of at most BATCH) the 64-bit hashes of the different phrases of its lists, how often each comes,
     and those of its prose. A phrase is PHRASE_WORDS consecutive words of a stretch, or one tag."""
     stretches = [(i, s) for i, e in enumerate(found) for s in e.stretches if s.words]
     each = np.array([xxhash.xxh64_intdigest(w) for _, s in stretches for w in s.words], dtype=np.uint64)
@@ -299,11 +303,13 @@ def phrase_arrays(found: list[Evidence]) -> tuple[pa.Array, pa.Array, pa.Array]:
     place = np.concatenate((joined, alone))
 
     def lists(of: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        pairs = np.empty(len(of), dtype=[("owner", np.int64), ("phrase", np.int64)])
-        pairs["owner"], pairs["phrase"] = owner[place[of]], hashed[of]
-        different, times = np.unique(pairs, return_counts=True)
-        ends = np.searchsorted(different["owner"], np.arange(len(found) + 1)).astype(np.int32)
-        return tuple(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values in (different["phrase"].copy(), times.astype(np.int32)))
+        of = of[np.argsort(hashed[of], kind="stable")]
+        of = of[np.argsort(owner[place[of]].astype(np.int16), kind="stable")]
+        who, what = owner[place[of]], hashed[of]
+        first = np.flatnonzero(np.concatenate(([len(of) > 0], (who[1:] != who[:-1]) | (what[1:] != what[:-1]))))
+        ends = np.searchsorted(who[first], np.arange(len(found) + 1)).astype(np.int32)
+        times = np.diff(np.concatenate((first, [len(of)]))).astype(np.int32)
+        return tuple(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values in (what[first], times))
 
     in_lists = listed[place]
     phrases, times = lists(np.flatnonzero(in_lists))
@@ -318,8 +324,8 @@ def evidence(documents: DataFrame, key: str = "doc_id", text: str = "text", host
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                piece = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, BATCH):
+                piece = batch.slice(start, BATCH)
                 found = [examine(t) for t in piece.column(2).to_pylist()]
                 numbers = pa.array(np.arange(page, page + piece.num_rows))
                 page += piece.num_rows
