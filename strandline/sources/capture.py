@@ -12,15 +12,45 @@ from pyspark.sql import functions as F
 
 from strandline.functions.properties import PROMOTED, promoted
 from strandline.functions.times import DAY, HOUR
+from strandline.session import materialize
 
 MAX_ID_CHARS = 200
 MAX_FUTURE = 23 * HOUR
 DROPPED = "$performance_event"
 UUID = r"^\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?$"
 
-# Marks of common user agents, most specific first.
-BROWSERS = (("Edge", r"Edg(?:e|A|iOS)?/([\d.]+)"), ("Opera", r"(?:OPR|Opera)/([\d.]+)"), ("Firefox", r"(?:Firefox|FxiOS)/([\d.]+)"), ("Chrome", r"(?:Chrome|CriOS)/([\d.]+)"), ("Safari", r"Version/([\d.]+).*Safari/"))
-SYSTEMS = (("Windows 10", r"Windows NT 10"), ("Windows", r"Windows"), ("iOS", r"iPhone|iPad|iPod"), ("Mac OSX", r"Mac OS X"), ("Android", r"Android"), ("ChromeOS", r"CrOS"), ("Linux", r"Linux"))
+# Marks of common user agents, most specific first, with the version as a group.
+CRAWLER = r"(?i)bot\b|crawl|spider|slurp|facebookexternalhit|bingpreview|lighthouse"
+BROWSERS = (
+    ("Edge", r"\bEdg(?:e|A|iOS)?/([\d.]+)"),
+    ("Opera", r"\b(?:OPR|Opera|OPiOS)/([\d.]+)"),
+    ("Samsung Internet", r"\bSamsungBrowser/([\d.]+)"),
+    ("Yandex Browser", r"\bYaBrowser/([\d.]+)"),
+    ("Vivaldi", r"\bVivaldi/([\d.]+)"),
+    ("UC Browser", r"\bUCBrowser/([\d.]+)"),
+    ("DuckDuckGo", r"\bDuckDuckGo/([\d.]+)"),
+    ("Silk", r"\bSilk/([\d.]+)"),
+    ("Firefox", r"\b(?:Firefox|FxiOS)/([\d.]+)"),
+    ("Chrome", r"\b(?:Chrome|CriOS|HeadlessChrome|Chromium)/([\d.]+)"),
+    ("Internet Explorer", r"\b(?:MSIE |Trident/.*\brv:)([\d.]+)"),
+    ("Safari", r"\bVersion/([\d.]+).*\bSafari/"),
+)
+SYSTEMS = (
+    ("Windows Phone", r"Windows Phone(?: OS)? ([\d.]+)"),
+    ("Windows 10", r"Windows NT (10\.0)"),
+    ("Windows 8.1", r"Windows NT (6\.3)"),
+    ("Windows 8", r"Windows NT (6\.2)"),
+    ("Windows 7", r"Windows NT (6\.1)"),
+    ("Windows Vista", r"Windows NT (6\.0)"),
+    ("Windows XP", r"Windows NT (5\.[12])"),
+    ("Windows", r"Windows(?: NT ([\d.]+))?"),
+    ("iOS", r"(?:iPhone|iPad|iPod)(?:.*? OS ([\d_]+))?"),
+    ("Mac OSX", r"Mac OS X(?: ([\d_.]+))?"),
+    ("Android", r"Android(?: ([\d.]+))?"),
+    ("ChromeOS", r"CrOS \S+ ([\d.]+)"),
+    ("BlackBerry", r"(?:BlackBerry|BB10)(?:.*\bVersion/([\d.]+))?"),
+    ("Linux", r"Linux()"),
+)
 
 
 LZ_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
@@ -176,16 +206,32 @@ def resolve(parsed: DataFrame) -> DataFrame:
     return out.withColumns({column: promoted(F.col("properties"), key) for key, column in PROMOTED.items()})
 
 
-def _first(marks: tuple, agent: Column) -> Column:
-    return F.coalesce(*(F.when(agent.rlike(pattern), F.lit(name)) for name, pattern in marks))
+def _first(marks: tuple, agent: Column) -> tuple[Column, Column]:
+    """The name of the first mark that an agent has, and the version beside it."""
+    name = F.coalesce(*(F.when(agent.rlike(pattern), F.lit(name)) for name, pattern in marks))
+    version = F.coalesce(*(F.when(agent.rlike(pattern), F.regexp_replace(F.regexp_extract(agent, pattern, 1), "_", ".")) for _, pattern in marks))
+    return name, F.nullif(version, F.lit(""))
+
+
+def _with_members(document: Column, members: dict[str, Column]) -> Column:
+    """A JSON object's text with members added that it doesn't have; those without a value are left out."""
+    has = F.json_object_keys(document)
+    new = F.map_filter(F.create_map(*(x for k, v in members.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull() & ~F.array_contains(has, k))
+    added = F.to_json(new)
+    joined = F.concat(F.substr(document, F.lit(1), F.length(document) - 1), F.lit(","), F.substr(added, F.lit(2)))
+    return F.when(F.size(new) == 0, document).when(F.size(has) == 0, added).otherwise(joined)
 
 
 def enrich(events: DataFrame, salt: str | None = None) -> DataFrame:
-    """Browser, system and device type from the user agent, where the event has none of its own;
-    with a salt a device id that is the same for an address all day and unrelated the next."""
-    agent = F.nullif(F.coalesce("user_agent", F.get_json_object("properties", "$['$user_agent']")), F.lit(""))
-    device = F.when(agent.rlike(r"iPad|Tablet"), "Tablet").when(agent.rlike(r"Mobi|iPhone|Android"), "Mobile").when(agent.rlike(r"(?i)bot|crawl|spider"), "Crawler").when(agent.isNotNull(), "Desktop")
-    out = events.withColumns({"browser": F.coalesce("browser", _first(BROWSERS, agent)), "os": F.coalesce("os", _first(SYSTEMS, agent)), "device_type": F.coalesce("device_type", device)})
+    """Browser, system, their versions and the device type from the user agent, where the event has
+    none of its own, in the properties and as columns; with a salt a device id that is the same for
+    an address all day and unrelated the next. An agent with no known mark adds nothing."""
+    own = F.coalesce(*(F.get_json_object("properties", f"$['{k}']") for k in ("$user_agent", "$useragent")))
+    agent = F.nullif(F.coalesce("user_agent", own), F.lit(""))
+    device = F.when(agent.rlike(CRAWLER), "Crawler").when(agent.rlike(r"iPad|Tablet|Silk/|Android(?!.*Mobile)"), "Tablet").when(agent.rlike(r"Mobi|iPhone|iPod|Android|BlackBerry|BB10"), "Mobile").when(agent.isNotNull(), "Desktop")
+    (browser, browser_version), (system, system_version) = _first(BROWSERS, agent), _first(SYSTEMS, agent)
+    found = {"$browser": F.coalesce("browser", browser), "$browser_version": browser_version, "$os": F.coalesce("os", system), "$os_version": system_version, "$device_type": F.coalesce("device_type", device)}
+    out = events.withColumns({"properties": F.when(agent.isNotNull(), _with_members(F.col("properties"), found)).otherwise(F.col("properties")), "browser": found["$browser"], "os": found["$os"], "device_type": found["$device_type"]})
     if salt:
         day = (F.col("received_us") / F.lit(DAY)).cast("long").cast("string")
         own = F.when(F.nullif("ip", F.lit("")).isNotNull(), F.sha2(F.concat_ws(":", "ip", F.lit(salt), day), 256).substr(1, 16))
@@ -195,7 +241,9 @@ def enrich(events: DataFrame, salt: str | None = None) -> DataFrame:
 
 def import_events(exported: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """An exported history as a feed in the order of (timestamp, uuid), with `seq`; persons, if
-    given (distinct_id, properties, other ids), come first as merges and property updates."""
+    given (distinct_id, properties, other ids), come first as merges and property updates. The
+    numbered feed is written down, so an event keeps its seq when a lost task runs again; a caller
+    that stops halfway can go on from the last seq it has taken in."""
     columns = ["uuid", "event", "distinct_id", "timestamp", "properties"]
     feed = exported.select(*columns)
     if people is not None:
@@ -203,4 +251,4 @@ def import_events(exported: DataFrame, people: DataFrame | None = None) -> DataF
         sets = people.select(F.md5("distinct_id").alias("uuid"), F.lit("$set").alias("event"), "distinct_id", F.timestamp_micros(F.lit(1)).alias("timestamp"), F.concat(F.lit('{"$set":'), F.coalesce("properties", F.lit("{}")), F.lit("}")).alias("properties"))
         feed = merges.unionByName(sets).unionByName(feed)
     placed = feed.repartitionByRange("timestamp", "uuid").sortWithinPartitions("timestamp", "uuid")
-    return placed.withColumn("seq", F.monotonically_increasing_id())
+    return materialize(placed.withColumn("seq", F.monotonically_increasing_id()))

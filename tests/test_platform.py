@@ -299,6 +299,35 @@ def test_field_resolution(spark):
     assert len(found["12345"]["device_id"]) == 16
 
 
+AGENTS = {
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36": ("Chrome", "120.0.0.0", "Windows 10", "10.0", "Desktop"),
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36 Edg/120.1": ("Edge", "120.1", "Windows 10", "10.0", "Desktop"),
+    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_2 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.2 Mobile/15E148 Safari/604.1": ("Safari", "17.2", "iOS", "17.2", "Mobile"),
+    "Mozilla/5.0 (Linux; Android 13; SM-S901B) AppleWebKit/537.36 (KHTML, like Gecko) SamsungBrowser/23.0 Chrome/115.0 Mobile Safari/537.36": ("Samsung Internet", "23.0", "Android", "13", "Mobile"),
+    "Mozilla/5.0 (Linux; Android 12; SM-X906C) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/118.0 Safari/537.36": ("Chrome", "118.0", "Android", "12", "Tablet"),
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.1 Safari/605.1.15": ("Safari", "17.1", "Mac OSX", "10.15.7", "Desktop"),
+    "Mozilla/5.0 (Windows NT 6.1; Trident/7.0; rv:11.0) like Gecko": ("Internet Explorer", "11.0", "Windows 7", "6.1", "Desktop"),
+    "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)": (None, None, None, None, "Crawler"),
+    "curl/8.0": (None, None, None, None, "Desktop"),
+    "": (None, None, None, None, None),
+}
+
+
+def test_user_agents(spark):
+    columns = ["browser", "os", "device_type", "properties"]
+    schema = "user_agent string, browser string, os string, device_type string, properties string"
+    df = spark.createDataFrame([(a, None, None, None, '{"a":1}') for a in AGENTS], schema)
+    for (agent, expected), r in zip(AGENTS.items(), capture.enrich(df).select("user_agent", *columns).collect()):
+        held = json.loads(r["properties"])
+        keys = ("$browser", "$browser_version", "$os", "$os_version", "$device_type")
+        assert r["user_agent"] == agent and tuple(map(held.get, keys)) == expected and held["a"] == 1, agent
+        assert (r["browser"], r["os"], r["device_type"]) == (expected[0], expected[2], expected[4])
+    given = spark.createDataFrame([(next(iter(AGENTS)), "Own", None, None, '{"$browser":"Own","$os_version":null}'), (None, None, None, None, "{}"), (next(iter(AGENTS)), None, None, None, "{}")], schema)
+    own, none, empty = capture.enrich(given).collect()
+    assert (own["browser"], json.loads(own["properties"])["$browser"], json.loads(own["properties"])["$os_version"]) == ("Own", "Own", None)
+    assert none["properties"] == "{}" and json.loads(empty["properties"])["$os"] == "Windows 10"
+
+
 def test_stream_of_bodies_is_published_once(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "lake")
     projects = spark.createDataFrame([("t", "p")], "token string, project_id string")
