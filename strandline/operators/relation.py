@@ -41,12 +41,7 @@ def relation(source: Source, start: int | None = None, end: int | None = None, p
     events = events.withColumn("at", micros(events, "timestamp"))
     if not person:
         return events
-    if source.overrides is None:
-        events = events.withColumn("person_id", F.col("distinct_id"))
-    else:
-        own = source.overrides.select(F.col("project_id").alias("o_project"), F.col("distinct_id").alias("o_id"), F.col("person_id").alias("o_person"))
-        joined = events.join(own, (F.col("project_id") == F.col("o_project")) & (F.col("distinct_id") == F.col("o_id")), "left")
-        events = joined.withColumn("person_id", F.coalesce("o_person", "distinct_id")).drop("o_project", "o_id", "o_person")
+    events = with_person(events, source)
     if person_properties:
         if source.persons is None:
             return events.withColumn("person_properties", F.lit(None).cast("string"))
@@ -55,6 +50,16 @@ def relation(source: Source, start: int | None = None, end: int | None = None, p
     return events
 
 
+def with_person(rows: DataFrame, source: Source) -> DataFrame:
+    """Any rows with project_id and distinct_id, with their person_id. Rows that are combined per
+    distinct_id before are fewer to join: of a hot id one a bucket, not all its events."""
+    if source.overrides is None:
+        return rows.withColumn("person_id", F.col("distinct_id"))
+    own = source.overrides.select(F.col("project_id").alias("o_project"), F.col("distinct_id").alias("o_id"), F.col("person_id").alias("o_person"))
+    joined = rows.join(own, (F.col("project_id") == F.col("o_project")) & (F.col("distinct_id") == F.col("o_id")), "left")
+    return joined.withColumn("person_id", F.coalesce("o_person", "distinct_id")).drop("o_project", "o_id", "o_person")
+
+
 def named(event: str | None) -> Column:
     """The event has this name; any event if there is none."""
     return F.lit(True) if event is None else F.col("event") == event

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from strandline.contract import OTHER, Breakdown, Filter, Period, Series, check_breakdown, check_filters, check_series
 from strandline.functions import dates, formula, properties
 from strandline.functions.times import DAY, HOUR, WEEK, bucket, floor_to
-from strandline.operators.relation import Source, named, needs_person_properties, relation
+from strandline.operators.relation import Source, named, needs_person_properties, relation, with_person
 from strandline.session import local_rows
 
+#: Up to so many rows a result is sent to the grid of its buckets, not the other way round.
+BROADCAST_ROWS = 100_000
 TRAILING_DAYS = {"weekly_active": 7, "monthly_active": 30}
 PERCENTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -32,12 +34,12 @@ def measure(series: Series) -> Column:
     return F.coalesce(value.cast("double"), F.lit(0.0)).alias("value")
 
 
-def matching(source: Source, series: Series, filters: tuple[Filter, ...], start: int, end: int, breakdown: Breakdown | None) -> DataFrame:
-    """The events of a series, with its breakdown value as `breakdown`."""
+def matching(source: Source, series: Series, filters: tuple[Filter, ...], start: int, end: int, breakdown: Breakdown | None, person: bool = False) -> DataFrame:
+    """The events of a series, with its breakdown value as `breakdown`; with person_id if asked for or
+    if a filter or the breakdown looks at persons."""
     everything = (*series.filters, *filters)
     per_person = needs_person_properties(everything) or (breakdown is not None and breakdown.scope == "person")
-    person = per_person or series.math in ("dau", *TRAILING_DAYS)
-    events = relation(source, start, end, person, per_person).where(named(series.event) & properties.condition(everything))
+    events = relation(source, start, end, person or per_person, per_person).where(named(series.event) & properties.condition(everything))
     value = properties.label(properties.text(breakdown.key, breakdown.scope)) if breakdown else F.lit(None).cast("string")
     return events.withColumn("breakdown", value)
 
@@ -53,15 +55,23 @@ def fold(value: Column, top: list[str]) -> Column:
     return F.when(value.isin(top), value).otherwise(F.lit(OTHER)) if top else F.lit(OTHER)
 
 
-def trailing(events: DataFrame, period: Period, n_days: int) -> DataFrame:
-    """Different persons in the n days up to each bucket's end, per breakdown and bucket.
+def active_persons(source: Source, events: DataFrame, unit: Column) -> DataFrame:
+    """breakdown, unit, person_id, each once: reduced to distinct ids before their persons are looked up."""
+    if "person_id" in events.columns:
+        return events.select("breakdown", unit.alias("unit"), "person_id").distinct()
+    ids = events.select("breakdown", unit.alias("unit"), "project_id", "distinct_id").distinct()
+    return with_person(ids, source).select("breakdown", "unit", "person_id")
+
+
+def trailing(active: DataFrame, period: Period, n_days: int) -> DataFrame:
+    """Different persons in the n days up to each bucket's end, per breakdown and bucket, from
+    `active_persons`.
 
     Each person's active hours or days are reduced to one row each and sent to the few buckets
     whose windows cover them, found by arithmetic: an equi-aggregation, no join by range.
     """
-    unit = HOUR if period.interval == "hour" else DAY
     span = n_days * DAY
-    active = events.select("breakdown", "person_id", floor_to(F.col("at"), unit).alias("granule")).distinct()
+    active = active.withColumnRenamed("unit", "granule")
     if period.interval == "month":
         first = bucket(F.col("granule"), "month")
         later = bucket(F.col("granule") + span, "month")
@@ -83,11 +93,15 @@ def one_series(source: Source, series: Series, period: Period, filters: tuple[Fi
     events = matching(source, series, filters, start, period.end, breakdown)
     if breakdown:
         events = events.withColumn("breakdown", fold(F.col("breakdown"), top[0]))
-    inside = events.where(F.col("at") >= period.start) if n_days else events
-    timed = inside.withColumn("bucket", bucket(F.col("at"), period.interval))
     if n_days:
+        granule = floor_to(F.col("at"), HOUR if period.interval == "hour" else DAY)
+        inside = active_persons(source, events.where(F.col("at") >= period.start), F.lit(None).cast("long"))
         whole = inside.groupBy("breakdown").agg(measure(series)).withColumn("bucket", F.lit(None).cast("long"))
-        return trailing(events, period, n_days).unionByName(whole)
+        return trailing(active_persons(source, events, granule), period, n_days).unionByName(whole)
+    if series.math == "dau":
+        timed = active_persons(source, events, bucket(F.col("at"), period.interval)).withColumnRenamed("unit", "bucket")
+    else:
+        timed = events.withColumn("bucket", bucket(F.col("at"), period.interval))
     sets = timed.groupingSets([[F.col("breakdown"), F.col("bucket")], [F.col("breakdown")]], F.col("breakdown"), F.col("bucket"))
     return sets.agg(measure(series))
 
@@ -129,6 +143,9 @@ def _filled(source: Source, series: list[Series], period: Period, filters: tuple
     # at most 20 series of 301 values by 10,001 buckets, made where they are needed
     grid = local_rows(spark, shown, "g_series int, g_breakdown string").withColumn("g_bucket", F.explode(F.array_append(F.lit(np.array(starts, dtype=np.int64)), F.lit(None).cast("long"))))
     same = (F.col("g_series") == F.col("series")) & F.col("g_breakdown").eqNullSafe(F.col("breakdown")) & F.col("g_bucket").eqNullSafe(F.col("bucket"))
+    # after folding there is at most one row for each of the grid
+    if len(shown) * (len(starts) + 1) <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     filled = grid.join(found, same, "left").select(F.lit(name).alias("period"), F.col("g_series").alias("series"), F.col("g_breakdown").alias("breakdown"), F.col("g_bucket").alias("bucket"), F.coalesce("value", F.lit(0.0)).alias("value"))
     if formula_text is None:
         return filled
@@ -152,8 +169,7 @@ def actors(source: Source, series: Series, period: Period, at: int | None, filte
         start = dates.advance(at, period.interval) - n_days * DAY
     elif at is not None:
         start = max(start, period.start)
-    person_math = Series(series.event, "dau", None, series.filters)
-    events = matching(source, person_math, filters, start, end, breakdown)
+    events = matching(source, series, filters, start, end, breakdown, True)
     if series.math == "unique_session":
         events = events.where(F.col("session_id").isNotNull())
     if series.prop is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.contract import Filter, InvalidQuery, Period
 from strandline.functions import dates, properties
 from strandline.functions.times import MINUTE, SECOND, bucket, floor_to
-from strandline.operators.relation import Source, relation
+from strandline.operators.relation import Source, relation, with_person
 from strandline.operators.sessions import number_sessions
 from strandline.session import local_rows
 
@@ -61,22 +61,54 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100.0 * part / whole)
 
 
+def period_totals(source: Source, periods: dict[str, Period], filters: list[Filter] | None = None) -> DataFrame:
+    """One row per period (column period): visitors, pageviews, sessions, bounce_rate (%),
+    session_duration_s. A period without events has none of these but 0.
+
+    The events of all periods are read once and combined per distinct id, session (or 30 minutes
+    without one) and period before persons are looked up; visitors and sessions come from these
+    pieces. Bounces and durations need no entry values, so none are carried.
+    """
+    start, end = min(p.start for p in periods.values()), max(p.end for p in periods.values())
+    tag = F.coalesce(*(F.when((F.col("at") >= p.start) & (F.col("at") < p.end) & properties.explore_condition(filters or [], p.end), F.lit(n)) for n, p in periods.items()))
+    events = relation(source, start, end, person=False).withColumn("period", tag).where(F.col("period").isNotNull())
+    counts = lambda: (F.sum("pageviews").alias("pageviews"), F.sum("autocaptures").alias("autocaptures"), F.min("slot_start").alias("slot_start"), F.max("slot_end").alias("slot_end"))
+    session = F.nullif("session_id", F.lit(""))
+    ids = events.groupBy("period", "project_id", "distinct_id", session.alias("session"), F.when(session.isNull(), floor_to(F.col("at"), GAP)).otherwise(0).alias("slot")).agg(
+        F.count_if(F.col("event") == "$pageview").alias("pageviews"), F.count_if(F.col("event") == "$autocapture").alias("autocaptures"), F.min("at").alias("slot_start"), F.max("at").alias("slot_end")
+    )
+    found = with_person(ids, source)
+    # each piece counts twice: for its person's views, and for its session or run of slots
+    named = F.col("session").isNotNull()
+    own = F.struct(F.lit("person").alias("kind"), F.lit(False).alias("named"), F.col("person_id").alias("key"), F.lit(0).cast("long").alias("slot"))
+    part = F.struct(F.lit("session").alias("kind"), named.alias("named"), F.when(named, F.col("session")).otherwise(F.col("person_id")).alias("key"), F.col("slot").cast("long").alias("slot"))
+    measures = ["pageviews", "autocaptures", "slot_start", "slot_end"]
+    twice = found.select("period", F.explode(F.when(F.col("pageviews") > 0, F.array(own, part)).otherwise(F.array(part))).alias("e"), *measures).select("period", "e.*", *measures)
+    keys = ["period", "kind", "named", "key"]
+    pieces = twice.groupBy(*keys, "slot").agg(*counts())
+    whole = number_sessions(pieces, keys, GAP).groupBy(*keys, "session_no").agg(*counts()).where("pageviews > 0")
+    duration, session = F.col("slot_end") - F.col("slot_start"), F.col("kind") == "session"
+    bounced = (F.col("pageviews") == 1) & (F.col("autocaptures") == 0) & (duration < BOUNCE_US)
+    counted = whole.groupBy("period").agg(
+        F.count_if(~session & F.col("key").isNotNull()).alias("visitors"),
+        F.sum(F.when(~session, F.col("pageviews"))).alias("pageviews"),
+        F.count_if(session).alias("sessions"),
+        _rate(F.count_if(session & bounced), F.count_if(session)).alias("bounce_rate"),
+        (F.avg(F.when(session, duration)) / SECOND).alias("session_duration_s"),
+    )
+    names = local_rows(source.events.sparkSession, [(n,) for n in periods], "of_period string")
+    joined = names.join(F.broadcast(counted), F.col("of_period") == F.col("period"), "left").drop("period").withColumnRenamed("of_period", "period")  # a row per period
+    return joined.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("visitors", "pageviews", "sessions")), "bounce_rate", "session_duration_s", "period")
+
+
 def totals(source: Source, period: Period, filters: list[Filter] | None = None) -> DataFrame:
-    """One row: visitors, pageviews, sessions, bounce_rate (%), session_duration_s."""
-    views = relation(source, period.start, period.end).where(properties.explore_condition(filters or [], period.end)).where(F.col("event") == "$pageview")
-    a = views.agg(F.countDistinct("person_id").alias("visitors"), F.count(F.lit(1)).alias("pageviews"))
-    b = session_facts(source, period, filters).agg(F.count(F.lit(1)).alias("sessions"), _rate(F.count_if("bounced"), F.count(F.lit(1))).alias("bounce_rate"), (F.avg("duration_us") / SECOND).alias("session_duration_s"))
-    # one row each, side by side
-    both = a.select("*", *(F.lit(None).cast(t).alias(c) for c, t in b.dtypes)).unionByName(b.select("*", *(F.lit(None).cast(t).alias(c) for c, t in a.dtypes)))
-    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+    """The row of one period."""
+    return period_totals(source, {"": period}, filters).drop("period")
 
 
 def overview(source: Source, period: Period, filters: list[Filter] | None = None, compare: bool = True) -> DataFrame:
-    """`totals` of the period and, unless it covers all events, of the one before (column period)."""
-    out = totals(source, period, filters).withColumn("period", F.lit("current"))
-    if compare:
-        out = out.unionByName(totals(source, dates.previous(period), filters).withColumn("period", F.lit("previous")))
-    return out
+    """`period_totals` of the period and, unless it covers all events, of the one before (column period)."""
+    return period_totals(source, {"current": period} | ({"previous": dates.previous(period)} if compare else {}), filters)
 
 
 def over_time(source: Source, period: Period, filters: list[Filter] | None = None) -> DataFrame:
