@@ -134,10 +134,12 @@ class People:
                 held.pop(key, None)
 
 
+#: Rows that are handed back together, of many small components or of one.
+ROWS_OUT = 10_000
 COLUMNS = "project_id string, distinct_id string, person_id string, seq long, is_person boolean, created_us long, is_identified boolean, properties string, first_seen_key string, last_seen_us long"
 
 
-def outcome(project: str, people: People) -> pd.DataFrame:
+def outcome(project: str, people: People) -> list[tuple]:
     """A row per distinct id; the row whose id names the person carries the person's figures."""
     out = []
     for i in people.node:
@@ -145,22 +147,28 @@ def outcome(project: str, people: People) -> pd.DataFrame:
         p = people.known[person] if i == person else None
         own = (p["created"], p["identified"], json.dumps(p["properties"], ensure_ascii=False), p["first_key"], p["last_seen"]) if p else (None,) * 5
         out.append((project, i, person, people.moved(i), p is not None, *own))
-    return pd.DataFrame(out, columns=[c.split(" ")[0] for c in COLUMNS.split(", ")])
+    return out
 
 
 def fold(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The outcome of each component's events, which come one component after the other in order of
     seq. What is held is a component's persons and ids, not its events."""
-    last, people = None, People()
+    columns = [c.split(" ")[0] for c in COLUMNS.split(", ")]
+    last, people, out = None, People(), []
     for frame in frames:
         for r in frame.itertuples(index=False):
             if (r.project_id, r.component) != last:
                 if last is not None:
-                    yield outcome(last[0], people)
+                    out += outcome(last[0], people)
                 last, people = (r.project_id, r.component), People()
+                if len(out) >= ROWS_OUT:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
             people.apply(int(r.seq), r.event, r.distinct_id, int(r.at), r.other, r.changes)
     if last is not None:
-        yield outcome(last[0], people)
+        out += outcome(last[0], people)
+    if out:
+        yield pd.DataFrame(out, columns=columns)
 
 
 def resolve(events: DataFrame) -> DataFrame:
